@@ -81,6 +81,7 @@ def pair_arms(scored: DataFrame, arm: str, rival: str, provider: str = "provider
         scored.where(F.col(provider).isin(arm, rival))
         .groupBy("trace_id")
         .agg(
+            F.max("ord").alias("ord"),
             F.max("y").alias("y"),
             F.max(F.when(F.col(provider) == arm, F.col("score"))).alias("score_a"),
             F.max(F.when(F.col(provider) == rival, F.col("score"))).alias("score_b"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scoring", "lanes")
+MODULES = ("scoring", "lanes", "decisions")
 
 
 def load():
