@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scoring", "lanes", "decisions")
+MODULES = ("scoring", "lanes", "decisions", "traces")
 
 
 def load():
