@@ -53,9 +53,13 @@ def canonical_json(text: Column) -> Column:
 
 
 def json_string(text: Column) -> Column:
-    """A JSON string literal for a text, NULL for NULL."""
+    """A JSON string literal for a text, NULL for NULL; most texts need no escape."""
     quoted = F.to_json(F.array(text))
-    return F.when(text.isNotNull(), F.substring(quoted, F.lit(2), F.length(quoted) - 2))
+    return (
+        F.when(text.isNull(), F.lit(None).cast("string"))
+        .when(~text.rlike(r'["\\\x00-\x1f]'), F.concat(F.lit('"'), text, F.lit('"')))
+        .otherwise(F.substring(quoted, F.lit(2), F.length(quoted) - 2))
+    )
 
 
 def sha256_text(text: Column) -> Column:

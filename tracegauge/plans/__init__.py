@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scoring", "lanes", "decisions", "traces")
+MODULES = ("scoring", "lanes", "decisions", "traces", "models")
 
 
 def load():
