@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scoring", "lanes", "decisions", "traces", "models")
+MODULES = ("scoring", "lanes", "decisions", "traces", "models", "live", "reports")
 
 
 def load():
