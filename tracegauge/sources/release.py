@@ -96,7 +96,7 @@ def goal_of_line(line: Column) -> Column:
     """The instruction value of an insert row, NULL on any other or malformed line."""
     v = F.try_parse_json(line)
     columns = F.transform(
-        F.split(F.regexp_extract(F.coalesce(F.try_variant_get(v, "$[0]", "string"), F.lit("")), TASK_INSERT, 1), ","), F.trim
+        F.split(F.regexp_extract(F.coalesce(F.try_variant_get(v, "$[0]", "string"), F.lit("")), TASK_INSERT, 1), ","), lambda c: F.trim(c)
     )
     place = F.array_position(columns, "instruction").cast("int")
     values = F.try_variant_get(v, "$[1]", "array<variant>")

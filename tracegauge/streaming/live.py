@@ -25,11 +25,13 @@ def tail_predictions(
     spark: SparkSession, folder: str, schema: T.StructType = PREDICTION, files_per_trigger: int | None = None
 ) -> DataFrame:
     """New prediction lines as a stream; lines that do not parse keep their text."""
-    wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    reader = spark.readStream.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    reader = spark.readStream
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.json(folder)
+    wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    lines = reader.text(folder).where(F.trim("value") != "")
+    return lines.select(F.from_json("value", wide, options).alias("r")).select("r.*")
 
 
 def good_rows(stream: DataFrame) -> DataFrame:
