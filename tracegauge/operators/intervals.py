@@ -30,17 +30,37 @@ def numbered(rows: DataFrame, keys: Sequence[str], tie: str) -> DataFrame:
     ).drop("one")
 
 
-def exact_draws(rows: DataFrame, keys: Sequence[str], resamples: int, seed: int, portable: bool) -> DataFrame:
-    """(keys, replicate, idx) once per draw: every row is one slot of every replicate."""
-    slots = rows.select(*keys, F.col("idx").alias("slot"), "n_rows").withColumn(
-        "replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))
+def exact_weights(
+    rows: DataFrame, keys: Sequence[str], values: Sequence[str], resamples: int, seed: int, portable: bool
+) -> DataFrame:
+    """(keys, chunk, replicate, values, w): draws with replacement, counted per row.
+
+    Every row is one slot of every replicate and draws one row number. A slot sends
+    itself (weight 0, with its values) and its draw (weight 1, no values); summing by
+    row number joins the two without a join. Replicates are dealt into chunks and the
+    one shuffle moves rows by chunk, so everything after it stays where it is.
+    """
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    chunks = min(resamples, 8 * parts)
+    slots = (
+        rows.select(*keys, *values, F.col("idx").alias("slot"), "n_rows", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+        .repartition(min(parts, chunks), "chunk")
+        .withColumn("replicate", F.explode(F.sequence(F.col("chunk"), F.lit(resamples - 1), F.lit(chunks))))
     )
     if portable:
         text = F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("slot").cast("string"))
         drawn = hash32(text) % F.col("n_rows")
     else:
         drawn = F.pmod(F.xxhash64(F.lit(seed), "replicate", "slot"), F.col("n_rows"))
-    return slots.select(*keys, "replicate", drawn.alias("idx"))
+    own = F.struct(F.col("slot").alias("idx"), F.lit(0).alias("w"), *[F.col(v) for v in values])
+    draw = F.struct(drawn.alias("idx"), F.lit(1).alias("w"), *[F.lit(None).cast(rows.schema[v].dataType).alias(v) for v in values])
+    return (
+        slots.select(*keys, "chunk", "replicate", F.explode(F.array(own, draw)).alias("s"))
+        .groupBy(*keys, "chunk", "replicate", "s.idx")
+        .agg(F.sum("s.w").alias("w"), *[F.max(f"s.{v}").alias(v) for v in values])
+        .where("w > 0")
+    )
 
 
 def poisson_weight(seed: int, row: Column) -> Column:
@@ -64,29 +84,25 @@ def resampled_groups(
     mode: str,
     portable: bool,
 ) -> DataFrame:
-    """(keys, arm, replicate, score) with resampled row and positive counts."""
-    columns = [*keys, "y", *arms]
+    """(keys, chunk, replicate, arm, score) with resampled row and positive counts."""
+    values = ["y", *arms]
     if mode == "exact":
-        indexed = numbered(rows.select(*columns, tie), keys, tie)
-        drawn = exact_draws(indexed, keys, resamples, seed, portable)
-        weighted = drawn.join(indexed.drop("n_rows", tie), [*keys, "idx"], "inner").withColumn("w", F.lit(1))
+        indexed = numbered(rows.select(*keys, *values, tie), keys, tie)
+        weighted = exact_weights(indexed, keys, values, resamples, seed, portable)
     elif mode == "poisson":
         weighted = (
-            rows.select(*columns, tie)
+            rows.select(*keys, *values, tie)
             .withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-            .withColumn("w", poisson_weight(seed, F.col(tie)))
+            .withColumns({"chunk": F.lit(0), "w": poisson_weight(seed, F.col(tie))})
             .where("w > 0")
         )
     else:
         raise ValueError(f"unknown resampling mode {mode!r}")
-    sides = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.col(a).alias("score")) for a in arms])).alias("side")
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(a).alias("score")) for i, a in enumerate(arms)])).alias("s")
     return (
-        weighted.select(*keys, "replicate", "y", "w", sides)
-        .groupBy(*keys, F.col("side.arm").alias("arm"), "replicate", F.col("side.score").alias("score"))
-        .agg(
-            F.sum("w").cast("bigint").alias("n"),
-            F.sum(F.col("w") * F.col("y")).cast("bigint").alias("pos"),
-        )
+        weighted.select(*keys, "chunk", "replicate", "y", "w", sides)
+        .groupBy(*keys, "chunk", "replicate", "s.side", "s.score")
+        .agg(F.sum("w").cast("bigint").alias("n"), F.sum(F.col("w") * F.col("y")).cast("bigint").alias("pos"))
     )
 
 
@@ -102,14 +118,14 @@ def replicate_values(
     mode: str = "exact",
     portable: bool = False,
 ) -> DataFrame:
-    """Metric values per (keys, replicate, arm); one-class resamples give no row.
+    """Metric values per (keys, arm, replicate); one-class resamples give no row.
 
     In exact mode an arm is small enough to draw with replacement, so one window per
     (arm, replicate) suffices; Poisson mode is for large arms and cuts each replicate
     into bounded cells like any other ranking.
     """
     groups = resampled_groups(rows, keys, arms, tie, resamples, seed, mode, portable)
-    by = [*keys, "arm", "replicate"]
+    by = [*keys, "chunk", "replicate", "side"]
     cells = [] if mode == "exact" else score_cells()
     ranked = running_totals(groups, by, ["score"], ["n", "pos"], cells, descending=True)
     values = ranked.groupBy(*by).agg(
@@ -117,7 +133,9 @@ def replicate_values(
         F.sum("pos").alias("_pos"),
         *[metric_by_name(m, budget=budget).alias(m) for m in metrics],
     )
-    return values.where((F.col("_pos") > 0) & (F.col("_pos") < F.col("_n"))).drop("_n", "_pos")
+    both = values.where((F.col("_pos") > 0) & (F.col("_pos") < F.col("_n")))
+    name = F.element_at(F.array(*[F.lit(a) for a in arms]), F.col("side") + 1)
+    return both.select(*keys, name.alias("arm"), "replicate", *metrics)
 
 
 def percentile_interval(values: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:

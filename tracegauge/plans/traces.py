@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import budget as B, labels as L, replies as Y, scores as S, text as X
+from ..session import spread
 from ..operators import leakage as K, rules as U, textfeatures as W
 from ..sources import release as R
 from . import corpus
@@ -280,7 +281,7 @@ def doc_traces(spark, sf):
 
 @query("f19_f20_f21_s11_fit_events")
 def fit_events(spark, sf):
-    return B.fit_events(doc_traces(spark, sf), F.lit(3000), F.lit("rule")).where("truncation IS NOT NULL").select("truncation.*")
+    return B.fit_events(spread(doc_traces(spark, sf)), F.lit(3000), F.lit("rule")).where("truncation IS NOT NULL").select("truncation.*")
 
 
 @query("a25_truncation_summary", """WITH r AS (SELECT source, doc_id % 5 AS dropped, doc_id % 3 AS shortened, doc_id % 7 <> 0 AS fits FROM documents WHERE n_chars > 1000)
