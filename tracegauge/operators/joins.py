@@ -18,28 +18,25 @@ def point_predictions(
     predictions: DataFrame,
     keys: Sequence[str] = ("provider",),
     arrival: str = "arrival",
-    has_zero: DataFrame | None = None,
 ) -> DataFrame:
     """One prediction per (keys, trace): repeat 0, the last written.
 
     Only where an arm has no repeat 0 at all does the first arrival per trace stand in.
-    Both candidates come out of one aggregate on (keys, trace).
+    One ordering says both: repeat 0 before the rest, then late before early for repeat 0
+    and early before late for the others; so one aggregate, folded before the shuffle,
+    picks the row, and the arm-wide rule is read off what was picked.
     """
     keys = list(keys)
     rest = [c for c in predictions.columns if c not in (*keys, "trace_id")]
-    row = F.struct(*rest)
     zero = F.col("repeat_no") == 0
+    first = F.struct(zero.alias("z"), F.when(zero, F.col(arrival)).otherwise(-F.col(arrival)).alias("a"))
     picked = predictions.groupBy(*keys, "trace_id").agg(
-        F.max_by(row, F.when(zero, F.col(arrival))).alias("zero"),
-        F.min_by(row, F.col(arrival)).alias("first"),
-    )
-    arms = has_zero if has_zero is not None else predictions.groupBy(*keys).agg(
-        F.bool_or(zero).alias("has_zero")
+        F.max_by(F.struct(*rest), first).alias("row"), F.bool_or(zero).alias("_zero")
     )
+    arms = picked.groupBy(*keys).agg(F.bool_or("_zero").alias("_arm_zero"))
     return (
         picked.join(arms, keys, "inner")
-        .withColumn("row", F.when(F.col("has_zero"), F.col("zero")).otherwise(F.col("first")))
-        .where(F.col("row").isNotNull())
+        .where(F.col("_zero") | ~F.col("_arm_zero"))
         .select(*keys, "trace_id", "row.*")
     )
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scores import format_value, verdict
+from ..session import settle
 from . import calibration as C, faults as L, intervals as I, joins as J, operational as O, ranking as R
 
 ARM = ["provider"]
@@ -65,7 +66,8 @@ def report_tables(
 ) -> Mapping[str, DataFrame]:
     """Every section of the report as its own lazily planned table."""
     points = J.point_predictions(predictions)
-    scored = J.score_join(points, truth, check=False).withColumn("threshold", threshold)
+    # Nearly every section starts from the scored rows, so they are written once.
+    scored = settle(J.score_join(points, truth, check=False).withColumn("threshold", threshold), "scored")
     ranked = R.ranked_groups(R.score_groups(scored, ARM), ARM)
     priced = O.with_cost(J.price_join(predictions, prices))
     at = R.confusion(scored, ARM, F.col("threshold"))
@@ -99,7 +101,7 @@ def judge_block(
     The verdict is not_run without a rival row, not_computable without two pairs of
     both classes, else what the interval of the AUPRC difference allows.
     """
-    pairs = J.paired(J.pair_arms(scored, arm, rival))
+    pairs = settle(J.paired(J.pair_arms(scored, arm, rival)), "pairs")
     pos = F.col("y") == 1
 
     def at(side: str, threshold: float, name: str) -> list[Column]:

@@ -14,6 +14,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import settle
+
 
 def score_cells(score: str = "score") -> list[Column]:
     """Nested cells of a score, even in log-odds so both saturated ends are spread.
@@ -133,12 +135,11 @@ def sliced_sums(
     over many tasks.
     """
     keys = list(keys)
-    folded = rows.groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(s).alias(s) for s in sums]
-    )
-    placed = running_totals(
-        folded.select(*keys, value, "n", *sums), keys, [value], ["n"], score_cells(value)
+    # Several branches start from the distinct values, so they are written once.
+    folded = settle(
+        rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), *[F.sum(s).alias(s) for s in sums]), "values"
     )
+    placed = running_totals(folded, keys, [value], ["n"], score_cells(value))
     first = slice_of(F.col("before_n") + 1, F.col("total_n"))
     last = slice_of(F.col("before_n") + F.col("n"), F.col("total_n"))
     placed = placed.withColumns({"first_slice": first, "last_slice": last})

@@ -13,6 +13,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 BASE = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -126,8 +128,8 @@ FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id""",
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view as a DataFrame over the parquet files of ``sf_dir``."""
-    sources = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in BASE}
-    return spark.sql(re.sub(r"\{(\w+)\}", lambda m: sources[m.group(1)], VIEWS[name]))
+    used = set(re.findall(r"\{(\w+)\}", VIEWS[name]))
+    return spark.sql(VIEWS[name], **{t: spread(base(spark, sf_dir, t)) for t in used})
 
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

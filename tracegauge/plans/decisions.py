@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from ..session import settle
 from ..operators import calibration as C, curve as K, gates as G, intervals as I, joins as J, operational as O, ranking as R, sampling as M
 from . import corpus
 from .corpus import RANKED, SCORED, with_views
@@ -40,12 +41,12 @@ _BASE = _BASE.replace("SELECT trace_id, y, score", "SELECT trace_id, ord, y, sco
 @query("a28_a30_bootstrap_intervals", with_views(SCORED, ", base AS (SELECT provider, ord, y, score FROM scored)" + _boot_sql("score", "provider") + " UNION ALL ".join(
     f" SELECT provider, '{m}' AS metric, round(quantile_cont({m}, 0.025), 6) AS lower, round(quantile_cont({m}, 0.975), 6) AS upper, count({m}) AS resamples_used FROM vals GROUP BY provider" for m in ("auprc", "auroc"))))
 def intervals(spark, sf):
-    out = I.bootstrap_interval(scored(spark, sf), ARM, resamples=B, seed=SEED, portable=True)
+    out = I.bootstrap_interval(settle(scored(spark, sf), "scored"), ARM, resamples=B, seed=SEED, portable=True)
     return out.select("provider", "metric", "lower", "upper", "resamples_used")
 
 
 def pairs(spark, sf):
-    return J.paired(J.pair_arms(scored(spark, sf), LANE, GENERAL))
+    return settle(J.paired(J.pair_arms(scored(spark, sf), LANE, GENERAL)), "pairs")
 
 
 _DIFF = """, diff AS (SELECT r, max(auprc) FILTER (WHERE arm = 'score_a') - max(auprc) FILTER (WHERE arm = 'score_b') AS auprc,
@@ -60,7 +61,7 @@ def paired(spark, sf):
 
 @query("a28_poisson_intervals")
 def poisson(spark, sf):
-    return I.bootstrap_interval(scored(spark, sf), ARM, resamples=B, seed=SEED, mode="poisson")
+    return I.bootstrap_interval(settle(scored(spark, sf), "scored"), ARM, resamples=B, seed=SEED, mode="poisson")
 
 
 @query("a35_verdict", with_views(SCORED, _BASE + _boot_sql("score_a score_b") + _DIFF + """, q AS (SELECT quantile_cont(auprc, 0.025) AS lo, quantile_cont(auprc, 0.975) AS hi FROM diff)
@@ -80,8 +81,7 @@ def wilson(spark, sf):
     return counts.select("provider", "fault_type", S.wilson(F.col("k"), F.col("n")).alias("w")).select("provider", "fault_type", "w.*")
 
 
-def summary(spark, sf):
-    rows = scored(spark, sf)
+def summary(spark, sf, rows):
     quality = R.confusion(rows, ARM, F.col("threshold")).select("provider", "precision", "recall")
     calibration = C.ece(C.reliability_bins(rows, ARM), ARM)
     work = corpus.view(spark, sf, "predictions").groupBy("provider").agg(*O.operational_columns())
@@ -103,10 +103,11 @@ CASE WHEN x.provider <> 'boosted' THEN lo > 0 END AS beats_strong, CASE WHEN x.p
 po AS precision_ok, ro AS recall_ok, eo AS ece_ok, xo AS error_rate_ok, fo AS parse_failures_ok, po AND ro AND eo AND xo AND fo AS deployment_passed FROM x JOIN v ON x.provider = v.provider"""))
 def gates(spark, sf):
     # Differences stand in for a written comparison table; each grows from the scores.
-    versus = scored(spark, sf).groupBy("provider").agg((F.avg("score") - 0.4).alias("lower"), (F.avg("score") - 0.25).alias("upper"))
+    rows = settle(scored(spark, sf), "scored")
+    versus = rows.groupBy("provider").agg((F.avg("score") - 0.4).alias("lower"), (F.avg("score") - 0.25).alias("upper"))
     base = versus.where("provider <> 'rules'").select("provider", F.col("lower").alias("auprc_lower"), F.col("upper").alias("recall_delta"))
-    sizes = scored(spark, sf).groupBy("provider").agg(F.count(F.lit(1)).alias("n_records"))
-    return G.gates(summary(spark, sf).join(sizes, "provider"), base, versus.where("provider <> 'boosted'"), RULES, F.col("n_records"))
+    sizes = rows.groupBy("provider").agg(F.count(F.lit(1)).alias("n_records"))
+    return G.gates(summary(spark, sf, rows).join(sizes, "provider"), base, versus.where("provider <> 'boosted'"), RULES, F.col("n_records"))
 
 
 @query("a49_claims", with_views(SCORED + " prices priced", """, v AS (SELECT provider, avg(score) - 5e-1 AS lo, avg(score) - 3.5e-1 AS hi FROM scored GROUP BY provider),
@@ -140,7 +141,7 @@ ec AS (SELECT provider, sum(CAST(m AS DOUBLE) / n * gap) AS ece FROM b GROUP BY
 m AS (SELECT provider, {AP} AS auprc, {ROC} AS auroc FROM ranked GROUP BY provider)
 SELECT m.provider, round(auprc, 6) AS auprc, round(auroc, 6) AS auroc, round(ece, 6) AS ece, 'scored' AS reason FROM m JOIN ec ON m.provider = ec.provider"""))
 def reference(spark, sf):
-    rows = scored(spark, sf)
+    rows = settle(scored(spark, sf), "scored")
     rank = R.ranked_groups(R.score_groups(rows, ARM), ARM).groupBy("provider").agg(R.auprc_of().alias("auprc"), R.auroc_of().alias("auroc"))
     return rank.join(C.ece(C.reliability_bins(rows, ARM), ARM), "provider").withColumn(
         "reason", F.when(F.col("auprc").isNull(), "one class only").otherwise("scored"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scores as S, text as X
+from ..session import settle, work_folder
 from ..operators import audit as A, intervals as I, leakage as K, ranking as R, report as P, rules as U, sampling as M
 from ..sources import dims, release, traces as TR
 from . import corpus
@@ -75,8 +76,6 @@ def trace_lines(spark, sf):
 
 def round_trip(df, name: str, write, read):
     """Write into a fresh shared folder, then read back from it."""
-    from ..streaming.live import work_folder
-
     folder = work_folder(df.sparkSession, name)
     write(df, folder)
     return read(df.sparkSession, folder)
@@ -136,8 +135,9 @@ g2 AS (SELECT provider, score, count(*) AS n, sum(y) AS pos FROM scored GROUP BY
 m AS (SELECT provider, {AP} AS y, max(total_n) AS n FROM r2 GROUP BY provider)
 SELECT 'auprc' AS figure, m.provider AS series, CAST(list_position(['rules', 'linear', 'boosted', 'typed', 'general'], m.provider) - 1 AS STRING) AS x, round(y, 6) AS y, round(lo, 6) AS lower, round(hi, 6) AS upper, printf('%.3f', y) AS shown, CAST(CAST(n AS BIGINT) AS STRING) AS n FROM m JOIN i ON m.provider = i.provider"""))
 def headline(spark, sf):
-    metrics = R.ranking_metrics(ranked(spark, sf), ARM)
-    spread = I.bootstrap_interval(scored(spark, sf), ARM, metrics=("auprc",), resamples=B, seed=SEED, portable=True)
+    rows = settle(scored(spark, sf), "scored")
+    metrics = R.ranking_metrics(R.ranked_groups(R.score_groups(rows, ARM), ARM), ARM)
+    spread = I.bootstrap_interval(rows, ARM, metrics=("auprc",), resamples=B, seed=SEED, portable=True)
     return P.figure_table("auprc", P.figure_points(metrics, spread, "auprc", PROVIDERS), "provider", "ord", extras=("n",))
 
 

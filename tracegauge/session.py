@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +52,21 @@ def spread(rows: DataFrame) -> DataFrame:
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the cluster's shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(rows: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder once and read it back.
+
+    For a table that several branches of a plan start from: it is computed once, the
+    lineage above it is cut, its size is known to the optimizer, and a lost executor
+    rereads files instead of rerunning the branches.
+    """
+    spark = rows.sparkSession
+    folder = work_folder(spark, name)
+    rows.write.mode("errorifexists").parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)

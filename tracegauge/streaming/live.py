@@ -7,7 +7,6 @@ micro-batch only folds what is new.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -15,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.joins import public_rows
 from ..schemas import POSITIVE_LABEL, PREDICTION, ratio
-from ..session import checkpoint_dir
+from ..session import work_folder
 
 CORRUPT = "_corrupt_record"
 ERROR_BUDGET, ERROR_MIN_SAMPLES = 0.05, 20
@@ -133,11 +132,6 @@ def run_status(runs: DataFrame, predictions: DataFrame, expected: DataFrame) ->
 # -- running ------------------------------------------------------------------------------
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def drain_append(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over everything available into files, and read them back."""
     spark = stream.sparkSession
