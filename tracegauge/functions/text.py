@@ -9,6 +9,8 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..schemas import beside
+
 # What a redaction writes, and the patterns and key names it acts on.
 REDACTED = "[REDACTED]"
 BEARER = r"\bbearer\s+[A-Za-z0-9._\-+/=]+"
@@ -113,8 +115,7 @@ def secret_table(spark: SparkSession, values: Sequence[str]) -> DataFrame:
 
 
 def with_secrets(rows: DataFrame, secrets: DataFrame) -> DataFrame:
-    one = F.lit(1).alias("_one")
-    return rows.select("*", one).join(secrets.select("*", one), "_one", "inner").drop("_one")
+    return beside(rows, secrets)
 
 
 def scrub_values(text: Column, secrets: Column | None) -> Column:

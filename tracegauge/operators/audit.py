@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..schemas import ratio
+from ..schemas import beside, ratio
 
 
 def filled(sheet: DataFrame) -> DataFrame:
@@ -43,8 +43,7 @@ def audit_agreement(sheet: DataFrame, key: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_sample_audited")
     )
     sizes = key.agg(F.count(F.lit(1)).alias("n_records"), n(F.col("in_sample") == "TRUE").alias("n_sample"))
-    one = lambda df: df.withColumn("_one", F.lit(1))
-    row = one(totals).join(one(sizes), "_one").join(one(ids), "_one").drop("_one")
+    row = beside(totals, sizes, ids)
     return row.withColumns(
         {
             "coverage": ratio(F.col("n_audited"), F.col("n_records")),

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..schemas import POSITIVE_LABEL, ratio
+from ..schemas import POSITIVE_LABEL, beside, ratio
 
 
 def per_fault_matrix(scored: DataFrame, keys: Sequence[str], threshold: Column) -> DataFrame:
@@ -154,7 +154,7 @@ def kpis(table: DataFrame, predictions: DataFrame, lane: str, rules: str, strong
         count(missed(rules)).alias("rules_misses"),
         count(missed(strong)).alias("strong_misses"),
         count(none).alias("union_misses"),
-    ).withColumn("_one", F.lit(1))
+    )
     mine = predictions.where(F.col("provider") == lane)
     # Distinct traces first fold by trace, so the one-row total adds small counts.
     spent = (
@@ -165,6 +165,5 @@ def kpis(table: DataFrame, predictions: DataFrame, lane: str, rules: str, strong
             F.sum("k").alias("predictions_written"),
             F.sum("c").alias("spend_usd"),
         )
-        .withColumn("_one", F.lit(1))
     )
-    return counts.join(spent, "_one").drop("_one")
+    return beside(counts, spent)

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..schemas import is_positive, refuse_if_any
+from ..schemas import beside, is_positive, refuse_if_any
 
 
 def unmatched_predictions(points: DataFrame, truth: DataFrame) -> DataFrame:
@@ -196,14 +196,5 @@ def curve_vs_reference(curves: DataFrame, references: DataFrame) -> DataFrame:
     attached to each row, so no cross join is planned.
     """
     known = references.where(F.col("reference_auprc").isNotNull() & ~F.isnan("reference_auprc"))
-    folded = known.agg(
-        F.collect_list(F.struct("reference", "reference_auprc")).alias("refs")
-    ).withColumn("_one", F.lit(1))
-    return (
-        curves.withColumn("_one", F.lit(1))
-        .join(folded, "_one", "inner")
-        .withColumn("ref", F.explode("refs"))
-        .drop("refs", "_one")
-        .select("*", "ref.*")
-        .drop("ref")
-    )
+    folded = known.agg(F.collect_list(F.struct("reference", "reference_auprc")).alias("refs"))
+    return beside(curves, folded).withColumn("ref", F.explode("refs")).drop("refs").select("*", "ref.*").drop("ref")

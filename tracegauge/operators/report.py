@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scores import format_value, verdict
+from ..schemas import beside
 from ..session import settle
 from . import calibration as C, faults as L, intervals as I, joins as J, operational as O, ranking as R
 
@@ -131,12 +132,10 @@ def judge_block(
     )
     mean = lambda p: F.avg(F.when(F.col("provider") == p, F.col("cost_usd"))) * 1000.0
     cost = priced.agg(mean(arm).alias("arm_cost_per_1000"), mean(rival).alias("rival_cost_per_1000"))
-    row = counts.withColumn("_one", F.lit(1))
-    for part in (ran, points, interval, cost):
-        row = row.join(part.withColumn("_one", F.lit(1)), "_one")
+    row = beside(counts, ran, points, interval, cost)
     enough = (F.col("n_paired") >= 2) & (F.col("n_positives") > 0) & (F.col("n_positives") < F.col("n_paired"))
     judged = verdict(F.when(enough, F.col("lower")), F.when(enough, F.col("upper")), F.col("rival_ran"))
-    return row.drop("_one").select(
+    return row.select(
         F.lit(arm).alias("arm"), F.lit(rival).alias("rival"), "*", judged.alias("verdict"),
         (F.col("arm_cost_per_1000") * fx_rate).alias("arm_cost_per_1000_converted"),
     )

@@ -149,6 +149,14 @@ def label_dim(spark: SparkSession) -> DataFrame:
     )
 
 
+def beside(rows: DataFrame, *one_row: DataFrame) -> DataFrame:
+    """Add the columns of one-row tables as scalar subqueries, so no join is planned."""
+    for table in one_row:
+        value = table.select(F.struct("*").alias("_row")).scalar()
+        rows = rows.withColumn("_row", value).select("*", "_row.*").drop("_row")
+    return rows
+
+
 def is_positive(label: str | Column = "label") -> Column:
     return F.when((F.col(label) if isinstance(label, str) else label) == POSITIVE_LABEL, 1).otherwise(0)
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import labels as L
 from ..functions.text import scenario_of, trace_id_of
 from ..operators.sets import allow_list
+from ..schemas import beside
 
 # Directory names, section marks and call shapes of a release.
 ARCHITECTURES = ("legacy_full_code_agent", "legacy_function_calling_agent")
@@ -293,8 +294,6 @@ def provenance_row(traces: DataFrame, counts: DataFrame, splits: DataFrame, corp
     label = traces.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("label_counts"))
     fault = traces.groupBy("fault_type").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("fault_type", "n")))).alias("fault_counts"))
     sizes = splits.groupBy("split").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("split", "n")))).alias("split_sizes"))
-    one = lambda df: df.withColumn("_one", F.lit(1))
-    return (
-        one(label).join(one(fault), "_one").join(one(sizes), "_one").join(one(counts), "_one").drop("_one")
-        .select(F.lit(corpus).alias("dataset_id"), F.lit(kind).alias("kind"), "*")
-    )
+    return beside(label, fault, sizes, counts).select(
+        F.lit(corpus).alias("dataset_id"), F.lit(kind).alias("kind"), "*"
+    )

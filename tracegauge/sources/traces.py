@@ -140,7 +140,7 @@ def blind_sheet(traces: DataFrame, sample: DataFrame) -> DataFrame:
 
 
 def write_sheet(rows: DataFrame, path: str) -> None:
-    rows.write.mode("errorifexists").option("header", "true").option("emptyValue", "").csv(path)
+    rows.write.mode("errorifexists").option("header", "true").option("emptyValue", "").option("escape", '"').csv(path)
 
 
 def clean_sheet(rows: DataFrame) -> DataFrame:
