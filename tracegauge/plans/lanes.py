@@ -134,9 +134,9 @@ def any_lane(spark, sf):
     return J.any_lane(flags(spark, sf), FREE)
 
 
-@query("j8_missed_by_lane", with_views(LANES, _lane_sql() + " SELECT trace_id FROM lanes WHERE label = 'unsupported_success' AND boosted_s AND NOT boosted_f"))
+@query("j8_missed_by_lane", with_views(LANES, _lane_sql() + " SELECT trace_id FROM lanes WHERE label = 'unsupported_success' AND general_s AND NOT general_f"))
 def missed_lane(spark, sf):
-    return J.missed_by_lane(positives(spark, sf), flags(spark, sf), STRONG)
+    return J.missed_by_lane(positives(spark, sf), flags(spark, sf), GENERAL)
 
 
 @query("j9_missed_by_all", with_views(LANES, _lane_sql() + " SELECT trace_id FROM lanes WHERE label = 'unsupported_success' AND NOT free_union_f"))

@@ -281,7 +281,7 @@ def doc_traces(spark, sf):
 
 @query("f19_f20_f21_s11_fit_events")
 def fit_events(spark, sf):
-    return B.fit_events(spread(doc_traces(spark, sf)), F.lit(3000), F.lit("rule")).where("truncation IS NOT NULL").select("truncation.*")
+    return B.truncation_rows(B.fit_events(spread(doc_traces(spark, sf)), F.lit(3000), F.lit("rule")))
 
 
 @query("a25_truncation_summary", """WITH r AS (SELECT source, doc_id % 5 AS dropped, doc_id % 3 AS shortened, doc_id % 7 <> 0 AS fits FROM documents WHERE n_chars > 1000)
