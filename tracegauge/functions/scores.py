@@ -77,7 +77,9 @@ def state_char_budget(longest_question: Column, tokens: int = 32_000, chars_per_
 
 
 def parse_utc(stamp: Column) -> Column:
-    return F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    """A stamp ending in Z as an instant, whatever the session's zone; else NULL."""
+    zulu = F.endswith(stamp, F.lit("Z"))
+    return F.when(zulu, F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd'T'HH:mm:ssX")))
 
 
 def size_label(size: Column) -> Column:

@@ -426,12 +426,12 @@ def cost_problems(spark, sf):
     return V.cost_problems(tampered)
 
 
-@query("v6_price_chain", """WITH c AS (SELECT concat('type_', p_type) AS model_id, p_brand AS manifest_date, p_partkey AS revision, p_size / 1e1 AS in_rate, p_retailprice / 1e3 AS out_rate FROM part),
+@query("v6_price_chain", """WITH c AS (SELECT concat('model_', CAST(p_partkey // 4 AS STRING)) AS model_id, p_brand AS manifest_date, p_partkey % 4 AS revision, p_size / 1e1 AS in_rate, p_retailprice / 1e3 AS out_rate FROM part),
 l AS (SELECT *, lag(in_rate) OVER w AS old_in_rate, lag(out_rate) OVER w AS old_out_rate, row_number() OVER w AS k FROM c WINDOW w AS (PARTITION BY model_id ORDER BY manifest_date, revision))
 SELECT model_id, manifest_date, revision, round(old_in_rate, 6) AS old_in_rate, round(in_rate, 6) AS in_rate, round(old_out_rate, 6) AS old_out_rate, round(out_rate, 6) AS out_rate
 FROM l WHERE k > 1 AND (in_rate IS DISTINCT FROM old_in_rate OR out_rate IS DISTINCT FROM old_out_rate)""")
 def price_chain(spark, sf):
     part = corpus.base(spark, sf, "part").select(
-        F.concat(F.lit("type_"), "p_type").alias("model_id"), F.col("p_brand").alias("manifest_date"), F.col("p_partkey").alias("revision"),
+        F.concat(F.lit("model_"), F.floor(F.col("p_partkey") / 4).cast("string")).alias("model_id"), F.col("p_brand").alias("manifest_date"), (F.col("p_partkey") % 4).alias("revision"),
         (F.col("p_size") / 10.0).alias("in_rate"), (F.col("p_retailprice") / 1000.0).alias("out_rate"))
     return V.price_chain(part)
