@@ -66,3 +66,22 @@ def map_texts(docs: DataFrame, keep: list[str], text: str, fn: Callable, schema:
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(len(keep))], *map(pa.array, made)], names=[*keep, *names])
 
     return rows.mapInArrow(run, f"{kept}, {schema}" if kept else schema)
+
+
+SLOT_BYTES = 4096
+
+
+def slot_bitmap(hashes: DataFrame, column: str, bits: int):
+    """A broadcast bitmap of the top ``bits`` bits of 64-bit hashes: 2 ** bits / 8 bytes, however many hashes there are.
+
+    A prefilter only: it passes every hash of the table and, the fuller it is, more others.
+    """
+    import numpy as np
+
+    slot = F.shiftrightunsigned(F.col(column), 64 - bits)
+    width = SLOT_BYTES * 8
+    parts = hashes.groupBy((slot / width).cast("long").alias("part")).agg(F.bitmap_construct_agg(slot % width).alias("set"))
+    bitmap = np.zeros((max(1, (1 << bits) // width), SLOT_BYTES), np.uint8)
+    for part, own in parts.collect():
+        bitmap[part] = np.frombuffer(own, np.uint8)
+    return hashes.sparkSession.sparkContext.broadcast(bitmap.ravel())

@@ -153,3 +153,39 @@ def ranges_cover(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     np.add.at(edge, starts, 1)
     np.subtract.at(edge, ends, 1)
     return np.cumsum(edge[:-1]) > 0
+
+
+def row_windows(counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first unit, row) of every ``width`` consecutive units inside one row."""
+    ends = np.cumsum(counts)
+    rows = np.repeat(np.arange(len(counts)), counts)
+    first = np.arange(max(len(rows) - width + 1, 0))
+    rows = rows[: len(first)]
+    inside = first + width <= ends[rows]
+    return first[inside], rows[inside]
+
+
+def has_bits(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bitmap[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0
+
+
+def bit_majorities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Per row the 64-bit word whose bits are those set in over half of its hashes (zero without any).
+
+    Bits are summed eight at a time in byte lanes over blocks of at most 255 hashes.
+    """
+    out = np.zeros(len(counts), _U)
+    full = np.flatnonzero(counts)
+    if not len(full):
+        return out
+    n = counts[full]
+    blocks = -(-n // 255)
+    first_block = np.cumsum(blocks) - blocks
+    row = np.repeat(np.arange(len(full)), blocks)
+    starts = (np.cumsum(n) - n)[row] + 255 * (np.arange(len(row)) - first_block[row])
+    for bit in range(8):
+        lanes = np.add.reduceat((hashes >> _U(bit)) & _U(0x0101010101010101), starts)
+        sums = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), first_block, axis=0)
+        over = (2 * sums > n[:, None]).astype(np.uint8)
+        out[full] |= np.ascontiguousarray(over).view(_U).ravel() << _U(bit)
+    return out

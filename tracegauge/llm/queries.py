@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe
+from . import bpe, decontam, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,22 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = bpe.encode_decode(documents(spark, sf_dir), vocabulary_path())
     return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = simhash.near_duplicates(documents(spark, sf_dir))
+    return made.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = decontam.decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return made.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
