@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, simhash
-from .common import table
+from . import bpe, decontam, langid, simhash, toxicity
+from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -51,3 +51,18 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = documents(spark, sf_dir), F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held)
+    made = model.score(docs)
+    return made.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = documents(spark, sf_dir), F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False))
+    made = langid.predict(docs, langid.train(docs, ~held))
+    return made.select("doc_id", held.alias("held_out"), "lang_pred", "score")
