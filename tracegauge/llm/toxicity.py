@@ -1,6 +1,6 @@
 """Toxicity with gradient-boosted trees over dense text features and isotonic calibration.
 
-A lexicon of terms (whole words, and word beginnings of 4 and 6 bytes) is learned from
+A lexicon of terms (whole words, and word beginnings of 4, 5 and 7 bytes) is learned from
 labelled documents by log-odds; features are the densities of its bands, their nearness
 to second-person words, and the rates of capitals, punctuation and obfuscation. Trees
 are Spark ML's; their scores are calibrated by isotonic regression.
@@ -31,10 +31,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import kernels as K
 from .common import map_texts, settle
 
-SAMPLE, LEAST_DOCS, BANDS, NEAR = 12_000, 5, (16, 64, 256, 1024), 6
-STEMS = (4, 6)
+SAMPLE, LEAST_DOCS, BANDS, NEAR = 20_000, 4, (16, 64, 256), 6
+STEMS = (4, 5, 7)
 TREES, DEPTH, RATE = 20, 4, 0.3
-PARTS, LEXICON_PARTS, TREE_PARTS = 10, 4, 8
+PARTS, LEXICON_PARTS, TREE_PARTS = 10, 5, 8
 # Second-person words of the languages of the corpus, lower case.
 SECOND_PERSON = "you your yours yourself u du dich dir dein deine ihr euch euer tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros".split()
 # Signs written for letters.
@@ -43,7 +43,7 @@ SIGNS = K.LOWER.copy()
 for _sign, _letter in LEET.items():
     SIGNS[ord(_sign)] = ord(_letter)
 FEATURES = (
-    *[f"{kind}_{band}" for kind in ("word", "stem4", "stem6") for band in BANDS],
+    *[f"{kind}_{band}" for kind in ("word", *[f"stem{n}" for n in STEMS]) for band in BANDS],
     "any_count", "near_second_person", "second_person", "hidden", "hidden_count",
     "capitals", "all_caps", "exclamations", "questions", "punctuation", "repeated_signs", "mixed", "repeated_letters", "log_words", "word_length",
 )
@@ -97,7 +97,7 @@ def features(lexicon: Lexicon, data: np.ndarray, offsets: np.ndarray) -> np.ndar
     hashes = _terms(low, starts, ends)
     ranks = [lexicon.rank(k, h) for k, h in enumerate(hashes)]
     made = [_per_row(r < band, bounds) / words for r in ranks for band in BANDS]
-    hit = np.minimum(np.minimum(ranks[0], ranks[1]), ranks[2]) < BANDS[1]
+    hit = np.min(ranks, axis=0) < BANDS[1]
     person = np.isin(hashes[0], PERSON)
     row = np.repeat(np.arange(len(counts)), counts)
     near = np.zeros(len(hit), bool)
@@ -112,7 +112,7 @@ def features(lexicon: Lexicon, data: np.ndarray, offsets: np.ndarray) -> np.ndar
     hidden = np.zeros(len(s2), bool)
     if len(odd):
         masked = _terms(SIGNS[data], s2[odd], e2[odd])
-        hidden[odd] = np.minimum(np.minimum(*[lexicon.rank(k, masked[k]) for k in (0, 1)]), lexicon.rank(2, masked[2])) < BANDS[1]
+        hidden[odd] = np.min([lexicon.rank(k, h) for k, h in enumerate(masked)], axis=0) < BANDS[1]
     n_hidden = _per_row(hidden, b2)
     made += [n_hidden / words, np.log1p(n_hidden)]
     letters = np.maximum(_per_row(LETTER[data], offsets), 1)
