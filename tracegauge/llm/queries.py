@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, langid, simhash, toxicity
+from . import bpe, decontam, langid, lm, simhash, toxicity
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = documents(spark, sf_dir), F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False))
     made = langid.predict(docs, langid.train(docs, ~held))
     return made.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op4_log_bilinear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, remainder = documents(spark, sf_dir), crc_mod(F.col("doc_id"), 10)
+    made = lm.score(docs, F.coalesce(remainder != 0, F.lit(False)))
+    held = F.coalesce(crc_mod(F.col("doc_id"), 10) == 0, F.lit(False))
+    return made.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
