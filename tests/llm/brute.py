@@ -119,3 +119,37 @@ def invented(seed=7, n=60, size=60, vocabulary=300):
             w = [r.choice(words), r.choice(words)] * r.randint(10, 40)
         texts.append(r.choice([" ", " ", "\n", "  "]).join(w))
     return texts + ["", None, "  \n", "one", "one two", passage and " ".join(passage), " ".join(passage[:9]), " ".join(passage) * 3, "ab" * 400]
+
+
+def line_templates(line):
+    """Template keys of one line, as the line operator defines them."""
+    tokens = [None if re.search(rb"[0-9@]", t) else t for t in spaced(line)]
+    if len(tokens) < 3 or 2 * tokens.count(None) >= len(tokens):
+        return []
+    lead, rest = tuple(tokens[:2]), tokens[2:]
+    keys = [("whole", tuple(tokens))]
+    if len(tokens) >= 6:
+        edge = [len(rest) * j // 3 for j in range(4)]
+        blocks = [tuple(rest[edge[j] : edge[j + 1]]) for j in range(3)]
+        keys += [(len(tokens), lead, j, tuple(b for i, b in enumerate(blocks) if i != j)) for j in range(3)]
+    return keys
+
+
+def drop_lines(docs, least=6):
+    whole = lambda line: tuple(None if re.search(rb"[0-9@]", t) else t for t in spaced(line))
+    met, first = {}, {}
+    for d, text in docs:
+        rows, seen = (text or "").split("\n"), set()
+        for i, line in enumerate(rows):
+            for key in line_templates(line):
+                if key not in seen:
+                    seen.add(key)
+                    met.setdefault(key, set()).add((whole(rows[i - 1]) if i else 0, whole(rows[i + 1]) if i + 1 < len(rows) else 0))
+                    if d is not None:
+                        first[key] = min(d, first.get(key, d))
+    out = []
+    for d, text in docs:
+        rows = [] if text is None else text.split("\n")
+        gone = {i for i, line in enumerate(rows) for k in line_templates(line) if len(met[k]) >= least and (d is None or first.get(k) != d)}
+        out.append((d, len(rows), len(gone), sha("\n".join(x for i, x in enumerate(rows) if i not in gone).encode())))
+    return out

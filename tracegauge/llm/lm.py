@@ -240,7 +240,7 @@ def train(docs: DataFrame, words: Vocabulary, id: str = "doc_id", text: str = "t
 
     own = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     ids = own.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(WARM_DOCS)
-    sample = own.join(ids, "id", "left_semi").select("text").mapInArrow(first, "classes binary").orderBy(F.xxhash64("classes"), "classes").limit(WARM_DOCS).collect()
+    sample = own.join(F.broadcast(ids), "id", "left_semi").select("text").mapInArrow(first, "classes binary").orderBy(F.xxhash64("classes"), "classes").limit(WARM_DOCS).collect()
     texts = [np.frombuffer(bytes(r.classes), "<i2").astype(np.int64) for r in sample]
     if texts:
         parts = [np.concatenate(x) for x in zip(*[(*contexts(c), c) for c in texts])]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, langid, lm, simhash, toxicity
+from . import bpe, decontam, langid, lines, lm, simhash, toxicity
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,9 @@ def op4_log_bilinear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = lm.score(docs, F.coalesce(remainder != 0, F.lit(False)))
     held = F.coalesce(crc_mod(F.col("doc_id"), 10) == 0, F.lit(False))
     return made.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = lines.drop_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return made.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

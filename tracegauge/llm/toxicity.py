@@ -136,11 +136,11 @@ def features(lexicon: Lexicon, data: np.ndarray, offsets: np.ndarray) -> np.ndar
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, teaches: Column, id: str, text: str, label: str, most: int = SAMPLE) -> DataFrame:
-    """(text, label, part) of the bounded training sample."""
+    """(text, label, part) of the bounded training sample; its ids are broadcast, so no text is shuffled to find it."""
     own = labels.select(F.col(f"`{id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
     ids = docs.where(teaches).select(F.col(f"`{id}`").alias("id")).where("id is not null").distinct().join(own, "id").orderBy(F.xxhash64("id"), "id").limit(most)
     texts = docs.where(teaches).select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return texts.join(ids, "id").select("text", "label", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(PARTS)).cast("int").alias("part"))
+    return texts.join(F.broadcast(ids), "id").select("text", "label", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(PARTS)).cast("int").alias("part"))
 
 
 def learn_lexicon(rows: DataFrame) -> Lexicon:
