@@ -3,8 +3,8 @@
 The network reads windows of ``STEPS`` bytes in both directions, labels every position,
 and a document's probabilities are the mean over all of its positions. It is trained in
 numpy by backpropagation through time on a bounded sample: at most ``SAMPLE_DOCS``
-documents of each language (the least hashes of their ids), ``SAMPLE_WINDOWS`` windows of
-each, and ``MOST_WINDOWS`` in all. Every byte of every document is labelled.
+documents of each language (the least hashes of their ids) and ``MOST_IDS`` in all,
+``SAMPLE_WINDOWS`` windows of each, and ``MOST_WINDOWS`` in all. Every byte of every document is labelled.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; rows with a null
 lang, or a null doc_id, teach nothing; without training rows every text is ``und``; every
@@ -23,7 +23,7 @@ from . import kernels as K
 from .common import map_texts
 
 STEPS, HIDDEN = 64, 8
-SAMPLE_DOCS, SAMPLE_WINDOWS, MOST_WINDOWS = 400, 6, 12_000
+SAMPLE_DOCS, SAMPLE_WINDOWS, MOST_IDS, MOST_WINDOWS = 400, 6, 40_000, 12_000
 EPOCHS, BATCH, RATE = 5, 128, 0.02
 SCORE_BATCH = 2048
 UNKNOWN = "und"
@@ -165,8 +165,9 @@ def sample(docs: DataFrame, teaches: Column, id: str, text: str, lang: str) -> D
     rows = docs.where(teaches & F.col(f"`{lang}`").isNotNull() & F.col(f"`{id}`").isNotNull())
     ids = rows.select(F.col(f"`{id}`").alias("id"), F.col(f"`{lang}`").cast("string").alias("lang")).distinct()
     ranked = ids.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))).where(F.col("rank") <= SAMPLE_DOCS)
+    chosen = ranked.orderBy("rank", "lang").limit(MOST_IDS).select("id", "lang")
     own = rows.select(F.col(f"`{id}`").alias("id"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
-    return own.join(ranked.select("id", "lang"), ["id", "lang"])
+    return own.join(F.broadcast(chosen), ["id", "lang"])
 
 
 def train(docs: DataFrame, teaches: Column, id: str = "doc_id", text: str = "text", lang: str = "lang") -> Network | None:
