@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, langid, lines, lm, simhash, toxicity
+from . import bpe, decontam, langid, lines, lm, simhash, substring, toxicity
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,9 @@ def op4_log_bilinear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = lines.drop_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return made.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = substring.remove_repeats(documents(spark, sf_dir))
+    return made.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
