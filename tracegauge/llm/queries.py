@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, langid, lines, lm, simhash, substring, toxicity
+from . import bpe, decontam, langid, lines, lm, runindex, simhash, substring, toxicity
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,9 @@ def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = substring.remove_repeats(documents(spark, sf_dir))
     return made.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op5_run_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = runindex.remove_repeats(documents(spark, sf_dir))
+    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
