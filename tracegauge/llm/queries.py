@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, langid, lines, lm, runindex, simhash, substring, toxicity
+from . import ann, bpe, decontam, langid, lines, lm, runindex, simhash, substring, toxicity
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,9 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_run_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = runindex.remove_repeats(documents(spark, sf_dir))
     return made.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op1_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+    return made.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
