@@ -163,11 +163,12 @@ def links(points: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """Kept columns, ``print`` and ``component_id`` (the least id reachable) of every row."""
+    """Kept columns, ``print``, ``component_id`` (the least id reachable) and ``root`` (the same for one component only) of every row."""
     prints = settle(fingerprints(docs, tuple(dict.fromkeys([*keep, id])), text), "prints")
     points = settle(prints.groupBy("print").agg(F.min(F.col(f"`{id}`")).alias("low")), "points")
     linked = components(links(points, radius))
     roots = linked.join(points, linked["node"] == points["print"]).groupBy("root").agg(F.min("low").alias("least"))
-    least = linked.join(roots, "root").select(F.col("node").alias("print"), "least")
-    classes = points.join(least, "print", "left").select("print", F.coalesce("least", "low").alias("component_id"))
-    return prints.join(classes, "print", "left").select(*[F.col(f"`{c}`") for c in keep], "print", "component_id")
+    least = linked.join(roots, "root").select(F.col("node").alias("print"), "root", "least")
+    # an only fingerprint's least id is its own; one of a component is that of the component, null or not
+    classes = points.join(least, "print", "left").select("print", F.coalesce("root", "print").alias("root"), F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("least")).alias("component_id"))
+    return prints.join(classes, "print", "left").select(*[F.col(f"`{c}`") for c in keep], "print", "component_id", "root")
