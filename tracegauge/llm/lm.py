@@ -8,8 +8,9 @@ within its class by smoothed counts, so the whole is a normalised distribution o
 words. Class vectors are trained in numpy: a warm start on a bounded sample, then one pass
 over every training document, each task from the warm start, averaged by tokens. With
 two context tokens there are CLASSES ** 2 contexts, whose normalisers are one table of
-batched matrix products; it, the class vectors and the ``FREQUENT`` most frequent words
-(of at most ``LONGEST`` bytes) are broadcast, and their size does not depend on the corpus.
+batched matrix products; it, the class vectors and at most ``FREQUENT`` of the most frequent words (of at most
+``LONGEST`` bytes, down to a level of their counts) are broadcast, and their size does not
+depend on the corpus.
 Counts of all other words meet the documents in a join.
 
 Cases: a null or empty text is one end token; rows with a null doc_id are scored but teach
@@ -34,7 +35,7 @@ from .common import settle
 
 SHORTLIST, BUCKETS = 767, 256
 CLASSES, END = SHORTLIST + BUCKETS + 1, SHORTLIST + BUCKETS
-FREQUENT, LONGEST, STEM = 131_072, 64, 3
+FREQUENT, LONGEST, STEM, LEVELS = 131_072, 64, 3, 8
 DIMENSIONS, NOISE, BATCH = 20, 48, 4096
 WARM_DOCS, WARM_TOKENS, WARM_RATE, RATE = 400, 1500, 0.2, 0.05
 COUNTER_WORDS = 200_000
@@ -101,7 +102,14 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
-    top = counts.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    known = counts.where(F.octet_length("word") <= LONGEST).withColumn("level", F.floor(F.log2("n") * LEVELS))
+    left, cut = FREQUENT, None
+    for r in sorted(known.groupBy("level").agg(F.count("*").alias("v")).collect(), key=lambda r: -r.level):  # some hundred levels at most
+        left -= r.v
+        if left < 0:
+            break
+        cut = r.level
+    top = sorted(known.where(F.col("level") >= cut).collect(), key=lambda r: (-r.n, bytes(r.word))) if cut is not None else []
     words = {bytes(r.word): i for i, r in enumerate(top)}
     classes = np.array([i if i < SHORTLIST else bucket(w) for i, w in enumerate(words)], np.int64)
     n = np.array([r.n for r in top], np.int64)
