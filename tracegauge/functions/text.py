@@ -149,50 +149,67 @@ def redact_columns(rows: DataFrame, secrets: Column | None = None) -> DataFrame:
     return rows.select(*[policy(f) for f in rows.schema.fields])
 
 
-_BEARER, _VENDOR, _OPAQUE = (
-    re.compile(BEARER, re.I),
-    re.compile(VENDOR_KEY),
-    re.compile(LONG_OPAQUE),
-)
+_JSON_TOKEN = re.compile(r'\n|("(?:[^"\\\\]|\\\\.)*")(:?)|[{}\[\],]|[^\s"{}\[\],:]+')
+_MARKS = tuple((re.compile(p, f), m) for p, f, m in ((BEARER, re.I, f"Bearer {REDACTED}"), (VENDOR_KEY, 0, REDACTED), (LONG_OPAQUE, 0, REDACTED)))
+_SENSITIVE, _STRUCTURAL = frozenset(SENSITIVE_KEYS), frozenset(STRUCTURAL_KEYS)
 
 
-def _clean(text: str, secrets: Sequence[str], structural: bool) -> str:
-    for s in secrets:
-        text = text.replace(s, REDACTED)
-    if structural:
-        return text
-    for pattern, mark in ((_BEARER, f"Bearer {REDACTED}"), (_VENDOR, REDACTED), (_OPAQUE, REDACTED)):
-        text = pattern.sub(mark, text)
-    return text
-
-
-def _walk(node, secrets: Sequence[str], structural: bool):
-    if isinstance(node, str):
-        return _clean(node, secrets, structural)
-    if isinstance(node, list):
-        return [_walk(item, secrets, structural) for item in node]
-    if isinstance(node, dict):
-        out = {}
-        for key, value in node.items():
-            name = key.strip().lower()
-            out[key] = (
-                REDACTED if name in SENSITIVE_KEYS else _walk(value, secrets, structural or name in STRUCTURAL_KEYS)
-            )
+class _Redactor:
+    """Rewrites canonical JSON texts, one per line, token by token.
+
+    ``policy`` holds one letter per open container: s lets only live values go, d drops
+    what is inside, p applies every pattern. ``coming`` is the policy a key set for its value.
+    """
+
+    def __init__(self, secrets: Sequence[Sequence[str]]):
+        self.secrets = iter(secrets)
+        self.new_line()
+
+    def new_line(self) -> str:
+        self.live, self.policy, self.coming = next(self.secrets, ()), ["p"], ""
+        return "\n"
+
+    def value(self, quoted: str) -> str:
+        text = json.loads(quoted)
+        for live in self.live:
+            text = text.replace(live, REDACTED)
+        for pattern, mark in _MARKS if (self.coming or self.policy[-1]) == "p" else ():
+            text = pattern.sub(mark, text)
+        return json.dumps(text, ensure_ascii=False)
+
+    def __call__(self, match: re.Match) -> str:
+        token, quoted, colon = match.group(0), match.group(1), match.group(2)
+        if token == "\n":
+            return self.new_line()
+        here = self.policy[-1]
+        if token in "}]":
+            self.policy.pop()
+            return "" if here == "d" else token
+        if colon:
+            name = json.loads(quoted).strip().lower()
+            self.coming = "d" if name in _SENSITIVE else "s" if name in _STRUCTURAL else here
+            return "" if here == "d" else token
+        if token == ",":
+            self.coming = ""
+            return "" if here == "d" else token
+        mode = self.coming or here
+        out = "" if here == "d" else json.dumps(REDACTED) if mode == "d" else self.value(quoted) if quoted else token
+        if token in "{[":
+            self.policy.append(mode)
+        self.coming = ""
         return out
-    return node
 
 
 @F.pandas_udf(T.StringType())
-def redact_json(body: pd.Series, secrets: pd.Series) -> pd.Series:
-    """Redaction inside free-form JSON, where the key names are only known per row."""
-    return pd.Series(
-        [
-            None
-            if b is None
-            else json.dumps(_walk(json.loads(b), list(s), False), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
-            for b, s in zip(body, secrets, strict=True)
-        ]
-    )
+def _redact_lines(body: pd.Series, secrets: pd.Series) -> pd.Series:
+    """One pass over the texts of a whole Arrow batch; canonical JSON holds no raw line break."""
+    done = _JSON_TOKEN.sub(_Redactor(list(secrets)), "\n".join(body.fillna("null")))
+    return pd.Series(done.split("\n"), index=body.index).where(body.notna(), None)
+
+
+def redact_json(body: Column, secrets: Column) -> Column:
+    """Redaction inside free-form JSON, where the key names are only known per row; canonical JSON comes out."""
+    return _redact_lines(canonical_json(body), secrets)
 
 
 def contains_secret(text: Column, secrets: Column) -> Column:
