@@ -127,11 +127,29 @@ def test_python_detector_never_sees_truth(spark):
     D.register_python_detector("nosy", nosy, "trace_id string, seen string")
     traces = spark.createDataFrame([("t1", "g", "positive", "f", "{}")], "trace_id string, goal string, label string, fault_type string, oracle string")
     got = D.run_predictions("nosy", traces, 2).collect()
-    assert {r["seen"] for r in got} == {"goal,trace_id"} and sorted(r["repeat_no"] for r in got) == [0, 1]
+    assert {r["seen"] for r in got} == {"goal,repeat_no,trace_id"} and sorted(r["repeat_no"] for r in got) == [0, 1]
     with pytest.raises(ValueError):
         D.register_python_detector("nosy", nosy)
 
 
+def test_detector_runs_anew_for_each_repeat_and_views_are_scanned(spark):
+    D.register_detector("wavering", lambda view: view.select("trace_id", (F.length("goal") + F.col("repeat_no")).alias("primary_score")))
+    traces = spark.createDataFrame([("t1", "g", "{}"), ("t2", "gg", '{"label": 1}')], "trace_id string, goal string, notes string")
+    got = D.run_predictions("wavering", traces, 3)
+    assert sorted(tuple(r) for r in got.select("trace_id", "repeat_no", "primary_score").collect()) == [("t1", 0, 1), ("t1", 1, 2), ("t1", 2, 3), ("t2", 0, 2), ("t2", 1, 3), ("t2", 2, 4)]
+    leaky = traces.withColumn("events", F.array(F.struct(F.lit("x").alias("oracle"))))
+    with pytest.raises(IntegrityError):
+        D.run_predictions("wavering", leaky, 1)
+    with pytest.raises(IntegrityError):
+        D.run_predictions("wavering", traces, 1, extra_json="notes")
+
+
+def test_recent_errors_are_per_key(spark):
+    rows = [("a", f"t{i}", "boom", i) for i in range(12)] + [("b", "t", "boom", 3), ("b", "u", None, 4)]
+    got = N.recent_errors(spark.createDataFrame(rows, "run_id string, trace_id string, error string, arrival bigint"), ["run_id"])
+    assert sorted((r["run_id"], r["arrival"]) for r in got.collect()) == [("a", i) for i in range(4, 12)] + [("b", 3)]
+
+
 def test_error_guard_by_arrival(spark):
     rows = [("r", i, "boom" if i in (3, 21) else None) for i in range(40)] + [("few", i, "boom") for i in range(5)]
     df = spark.createDataFrame(rows, "run_id string, arrival bigint, error string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schemas import LABELS, refuse_if_any
+from .text import strip
 
 # Claim words and the fault names of a labelled row.
 CLAIM_SUCCESS = ("success", "succeeded", "complete", "completed")
@@ -25,7 +26,7 @@ UNKNOWN_CLAIM = "unrecognised"
 
 def normalise_claim(status: Column) -> Column:
     """success, failure, NULL for none, or ``unrecognised`` for a word outside the rule."""
-    word = F.lower(F.trim(status))
+    word = F.lower(strip(status))
     return (
         F.when(status.isNull() | (word == ""), F.lit(None).cast("string"))
         .when(word.isin(*CLAIM_SUCCESS), "success")

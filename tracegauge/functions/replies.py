@@ -17,7 +17,7 @@ SUB_SCORE_FIELD = "noul"
 UNSUPPORTED_CODES = ("unsupported_value", "unsupported_parameter")
 DROPPABLE = ("temperature", "top_p")
 PARSE_FAILURE = "ParseFailureError: "
-SCHEMA_NAME = "false_success_verdict"
+SCHEMA_NAME = "trace_verdict"
 
 
 def state_json(goal: Column, tools: Column, events: Column, rule: Column) -> Column:

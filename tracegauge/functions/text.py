@@ -49,6 +49,11 @@ MIN_SECRET_CHARS = 8
 WORD = r"[\p{L}\p{N}_]{2,}"
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def canonical_json(text: Column) -> Column:
     """Sorted keys, compact, non-ASCII kept. An integral float prints without its point."""
     return F.to_json(F.parse_json(text))
@@ -149,7 +154,7 @@ def redact_columns(rows: DataFrame, secrets: Column | None = None) -> DataFrame:
     return rows.select(*[policy(f) for f in rows.schema.fields])
 
 
-_JSON_TOKEN = re.compile(r'\n|("(?:[^"\\\\]|\\\\.)*")(:?)|[{}\[\],]|[^\s"{}\[\],:]+')
+_JSON_TOKEN = re.compile(r'\n|("(?:[^"\\]++|\\.)*+")(:?)|[{}\[\],]|[^\s"{}\[\],:]+')
 _MARKS = tuple((re.compile(p, f), m) for p, f, m in ((BEARER, re.I, f"Bearer {REDACTED}"), (VENDOR_KEY, 0, REDACTED), (LONG_OPAQUE, 0, REDACTED)))
 _SENSITIVE, _STRUCTURAL = frozenset(SENSITIVE_KEYS), frozenset(STRUCTURAL_KEYS)
 

@@ -9,8 +9,7 @@ from ..schemas import TRUTH_FIELDS, IntegrityError, refuse_if_any
 from .rules import WEIGHTS
 
 INFERENCE_COLUMNS = ("trace_id", "goal", "tool_schema", "events")
-MAX_DEPTH = 64
-TOKEN = r'"(?:[^"\\]|\\.)*":?|-?[0-9][0-9.eE+-]*|true|false|null'
+TOKEN = r'"(?:[^"\\]++|\\.)*+":?|-?[0-9][0-9.eE+-]*|true|false|null'
 
 
 def inference_view(traces: DataFrame) -> DataFrame:
@@ -31,8 +30,10 @@ def json_tokens(body: Column) -> Column:
 
 
 def names_of(body: Column) -> Column:
-    quoted = F.filter(json_tokens(body), lambda t: F.endswith(t, F.lit(":")))
-    return F.transform(quoted, lambda t: F.try_variant_get(F.parse_json(F.regexp_replace(t, ":$", "")), "$", "string"))
+    # Escaped pairs are blanked first, so that strings are plain runs however long they are; no name that is
+    # looked for holds an escape, as canonical form writes letters as themselves.
+    plain = F.regexp_replace(canonical_json(body), r"\\.", "__")
+    return F.regexp_extract_all(plain, F.lit(r'"([^"]*+)":'), F.lit(1))
 
 
 def leakage(rows: DataFrame, body: str, key: str = "trace_id") -> DataFrame:
@@ -48,9 +49,11 @@ def leakage_paths(rows: DataFrame, body: str, key: str = "trace_id") -> DataFram
     """
     leaking = rows.where(F.arrays_overlap(names_of(F.col(body)), F.array(*[F.lit(n) for n in TRUTH_FIELDS])))
     source = leaking.select(F.col(key).alias("k"), F.try_parse_json(body).alias("v"))
+    # No text nests deeper than it has opening brackets.
+    deepest = leaking.agg(F.max(F.length(F.regexp_replace(body, r"[^\[{]", "")))).first()[0] or 0
     return (
         rows.sparkSession.sql(
-            f"""WITH RECURSIVE walk(k, path, name, v) MAX RECURSION LEVEL {MAX_DEPTH} AS (
+            f"""WITH RECURSIVE walk(k, path, name, v) MAX RECURSION LEVEL {deepest + 2} AS (
               SELECT k, '$', CAST(NULL AS STRING), v FROM {{source}}
               UNION ALL
               SELECT w.k, CASE WHEN e.key IS NULL THEN concat(w.path, '[', e.pos, ']') ELSE concat(w.path, '.', e.key) END, e.key, e.value

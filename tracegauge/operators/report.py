@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scores import format_value, verdict
 from ..schemas import beside
@@ -23,13 +23,14 @@ def provider_order(order: Sequence[str]) -> Column:
 
 
 def figure_points(metrics: DataFrame, intervals: DataFrame, metric: str, order: Sequence[str]) -> DataFrame:
-    """One point per provider with its interval, in the fixed reading order."""
+    """One point per provider with its interval: the fixed reading order first, any others after it by name."""
     spread = intervals.where(F.col("metric") == metric).select("provider", "lower", "upper")
     return (
         metrics.select("provider", F.col(metric).alias("y"), "n")
         .join(spread, "provider", "left")
-        .withColumn("ord", provider_order(order))
-        .where(F.col("ord").isNotNull())
+        .withColumn("_known", provider_order(order))
+        .withColumn("ord", F.coalesce("_known", F.lit(len(order) - 1) + F.dense_rank().over(W.partitionBy(F.col("_known").isNull()).orderBy("provider"))))
+        .drop("_known")
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..schemas import ratio
 from .running import integer_cells, running_totals
@@ -79,6 +79,7 @@ def error_rate_guard(
 
 
 def recent_errors(predictions: DataFrame, keys: Sequence[str], arrival: str = "arrival", last: int = 8) -> DataFrame:
-    """The last few errors in arrival order; a top-k that each task trims first."""
-    newest = predictions.where(F.col("error").isNotNull()).orderBy(F.col(arrival).desc()).limit(last)
-    return newest.select(*keys, "trace_id", "error", arrival)
+    """The last few errors of each key in arrival order; a top-k per key that each task trims first."""
+    order = W.partitionBy(*keys).orderBy(F.desc(arrival), F.desc("trace_id"))
+    failed = predictions.where(F.col("error").isNotNull()).select(*keys, "trace_id", "error", arrival)
+    return failed.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= last).drop("_place")

@@ -271,9 +271,9 @@ def headers(spark, sf):
     return N.newest_first(N.run_headers(r.where("status = 'complete'").select(*cols, "model_id"), r.where("concurrency <> 2").select(*cols)))
 
 
-@query("o2_newest_runs", with_views("runs", "SELECT run_id, created_utc FROM runs ORDER BY created_utc DESC, run_id DESC LIMIT 20"))
+@query("o2_newest_runs", with_views("runs", "SELECT run_id, created_utc FROM runs ORDER BY created_utc DESC, run_id DESC"))
 def newest(spark, sf):
-    return N.newest_first(runs(spark, sf)).select("run_id", "created_utc").limit(20)
+    return N.newest_first(runs(spark, sf)).select("run_id", "created_utc")
 
 
 @query("w2_latest_run", with_views("runs", "SELECT provider, run_id, created_utc FROM (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY created_utc DESC, run_id DESC) AS k FROM runs WHERE status = 'complete') q WHERE k = 1"))
@@ -312,9 +312,9 @@ def guard(spark, sf):
     return N.error_rate_guard(corpus.view(spark, sf, "predictions"), ["run_id"])
 
 
-@query("o3_recent_errors", with_views("predictions", "SELECT provider, trace_id, error, arrival FROM predictions WHERE error IS NOT NULL ORDER BY arrival DESC LIMIT 8"))
+@query("o3_recent_errors", with_views("predictions", "SELECT run_id, trace_id, error, arrival FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY arrival DESC, trace_id DESC) AS k FROM predictions WHERE error IS NOT NULL) q WHERE k <= 8"))
 def recent(spark, sf):
-    return N.recent_errors(corpus.view(spark, sf, "predictions"), ["provider"])
+    return N.recent_errors(corpus.view(spark, sf, "predictions"), ["run_id"])
 
 
 @query("o1_o5_order_and_first_trace", with_views("truth", "SELECT split, min(trace_id) AS first_trace, count(*) AS n FROM truth GROUP BY split"))

@@ -108,14 +108,14 @@ def build_events(spark, sf):
 
 @query("p8_final_assistant_text", "SELECT conv_id, coalesce(max_by(text, turn) FILTER (WHERE role = 'assistant' AND text <> ''), '') AS final_text FROM conversations GROUP BY conv_id")
 def final_text(spark, sf):
-    rows = corpus.base(spark, sf, "conversations").select(F.col("conv_id").alias("trace_id"), F.col("turn").alias("seq"), F.when(F.col("role") == "assistant", "assistant_message").otherwise("tool_result").alias("type"),
-        F.lit(None).cast("string").alias("tool"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("data"), "text", F.lit(False).alias("is_action"))
-    return U.latest_action(rows).select(F.col("trace_id").alias("conv_id"), "final_text")
+    kind = F.when(F.col("role") == "assistant", "assistant_message").otherwise("tool_result").alias("type")
+    turns = corpus.base(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", kind, "text"))).alias("events"))
+    return turns.select("conv_id", X.final_assistant_text(F.col("events")).alias("final_text"))
 
 
-@query("p1_inference_view", "SELECT concat('doc/', CAST(doc_id AS STRING)) AS trace_id, substr(text, 1, 40) AS goal FROM documents")
+@query("p1_inference_view", "SELECT concat('doc/', CAST(doc_id AS STRING)) AS trace_id, text AS goal FROM documents")
 def inference(spark, sf):
-    rows = docs(spark, sf).select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("trace_id"), F.substring("text", 1, 40).alias("goal"), F.col("source").alias("label"), F.col("lang").alias("oracle"))
+    rows = docs(spark, sf).select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("trace_id"), F.col("text").alias("goal"), F.col("source").alias("label"), F.col("lang").alias("oracle"))
     return K.inference_view(rows)
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+SPREAD_BYTES = 64 << 20
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tracegauge") -> SparkSession:
@@ -31,12 +33,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tra
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names, or a fresh one where none is named."""
+    """The shared folder the cluster names; a fresh one only where all tasks run in this very process."""
     configured = spark.conf.get(CHECKPOINT_KEY, "")
     if configured:
         path = configured
     elif spark.sparkContext.getCheckpointDir():
         return spark.sparkContext.getCheckpointDir()
+    elif not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
     else:
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if not spark.sparkContext.getCheckpointDir():
@@ -45,13 +49,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows over all cores when their scan has fewer partitions than that.
+    """Rows over all cores if the optimizer knows them to be at most ``SPREAD_BYTES``.
 
-    A small input in one file would otherwise run its per-row work in one task; a large
-    one already has many partitions and is left alone, so no large text is shuffled.
+    A small input in one file would otherwise run its per-row work in one task. Anything
+    larger is left as it is scanned, whatever the number of partitions or cores.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().__str__())
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else rows
 
 
 def work_folder(spark: SparkSession, name: str) -> str:

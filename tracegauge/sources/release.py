@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import labels as L
-from ..functions.text import scenario_of, trace_id_of
+from ..functions.text import scenario_of, strip, trace_id_of
 from ..operators.sets import allow_list
 from ..schemas import beside
 
@@ -61,10 +61,6 @@ def task_files(spark: SparkSession, root: str, name: str, architectures: Sequenc
     )
 
 
-def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-
-
 def interactions_of(text: Column) -> Column:
     """ARRAY<STRUCT<code, output>> from a log in sections of fenced blocks."""
     chunks = F.split(text, SECTION)
@@ -86,7 +82,7 @@ def scan_interactions(spark: SparkSession, root: str, architectures: Sequence[st
 def scan_api_calls(spark: SparkSession, root: str, architectures: Sequence[str]) -> DataFrame:
     """One row per call; lines that are not JSON objects are dropped."""
     rows = task_files(spark, root, "api_calls.jsonl", architectures)
-    lines = rows.select(*KEYS, F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "")
+    lines = rows.select(*KEYS, F.explode(F.split("text", "\n")).alias("line")).where(strip(F.col("line")) != "")
     parsed = lines.withColumn("v", F.try_parse_json("line"))
     return parsed.where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT"))).select(
         *KEYS, F.coalesce(F.try_variant_get("v", "$.url", "string"), F.lit("")).alias("url")
@@ -97,7 +93,7 @@ def goal_of_line(line: Column) -> Column:
     """The instruction value of an insert row, NULL on any other or malformed line."""
     v = F.try_parse_json(line)
     columns = F.transform(
-        F.split(F.regexp_extract(F.coalesce(F.try_variant_get(v, "$[0]", "string"), F.lit("")), TASK_INSERT, 1), ","), lambda c: F.trim(c)
+        F.split(F.regexp_extract(F.coalesce(F.try_variant_get(v, "$[0]", "string"), F.lit("")), TASK_INSERT, 1), ","), lambda c: strip(c)
     )
     place = F.array_position(columns, "instruction").cast("int")
     values = F.try_variant_get(v, "$[1]", "array<variant>")

@@ -31,7 +31,7 @@ def unknown_fields(lines: DataFrame, schema: T.StructType) -> DataFrame:
 def read_traces(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     """JSON lines under the closed trace schema; blank lines skipped, bad rows raise."""
     if check:
-        lines = spark.read.text(path).where(F.trim("value") != "")
+        lines = spark.read.text(path).where(X.strip(F.col("value")) != "")
         refuse_if_any(unknown_fields(lines, TRACE).distinct(), "fields outside the trace schema")
     return spark.read.schema(TRACE).option("mode", "FAILFAST").json(path)
 
@@ -145,9 +145,9 @@ def write_sheet(rows: DataFrame, path: str) -> None:
 
 def clean_sheet(rows: DataFrame) -> DataFrame:
     """Trimmed auditor cells and an upper-cased sample mark."""
-    shape = {c: F.trim(F.coalesce(F.col(c), F.lit(""))) for c in AUDITOR_COLUMNS if c in rows.columns}
+    shape = {c: X.strip(F.coalesce(F.col(c), F.lit(""))) for c in AUDITOR_COLUMNS if c in rows.columns}
     if "in_sample" in rows.columns:
-        shape["in_sample"] = F.upper(F.trim(F.coalesce("in_sample", F.lit(""))))
+        shape["in_sample"] = F.upper(X.strip(F.coalesce("in_sample", F.lit(""))))
     return rows.withColumns(shape)
 
 

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.text import strip
 from ..operators.joins import public_rows
 from ..schemas import POSITIVE_LABEL, PREDICTION, ratio
 from ..session import work_folder
@@ -29,7 +30,7 @@ def tail_predictions(
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    lines = reader.text(folder).where(F.trim("value") != "")
+    lines = reader.text(folder).where(strip(F.col("value")) != "")
     return lines.select(F.from_json("value", wide, options).alias("r")).select("r.*")
 
 
@@ -43,8 +44,23 @@ def corrupt_rows(stream: DataFrame) -> DataFrame:
 
 
 def replay(spark: SparkSession, folder: str, schema: T.StructType = PREDICTION, files_per_trigger: int = 1) -> DataFrame:
-    """A finished run file by file; pace it with the trigger's processing time."""
-    return tail_predictions(spark, folder, schema, files_per_trigger)
+    """A finished run file by file, in order of writing, then name; pace it with the trigger's processing time.
+
+    The file source orders by modification time alone, so the run is first laid out again
+    as one folder per place in that order, with times a second apart (a store that keeps
+    modification times, such as a local disk or HDFS, is needed for that).
+    """
+    lines = spark.read.text(folder).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("written"))
+    files = lines.select("file", "written").distinct()  # a row per file
+    placed = files.withColumn("place", F.row_number().over(W.orderBy("written", "file"))).select("file", "place")
+    stage = work_folder(spark, "replay")
+    lines.join(F.broadcast(placed), "file").select("value", "place").repartition("place").write.partitionBy("place").text(stage)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(stage).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for status in store.globStatus(path(f"{stage}/place=*/part-*")) or []:
+        place = int(status.getPath().getParent().getName().split("=")[1])
+        store.setTimes(status.getPath(), 1000 * place, -1)
+    return tail_predictions(spark, stage, schema, files_per_trigger)
 
 
 def live_rows(stream: DataFrame, truth: DataFrame, threshold: Column) -> DataFrame:
@@ -155,9 +171,10 @@ def write_state(stream: DataFrame, folder: str, on_batch: Callable[[DataFrame, i
     """
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
-        if on_batch is not None:
-            on_batch(batch, number)
+        target = f"{folder}/rows/batch={number}"
+        batch.write.mode("overwrite").parquet(target)
+        if on_batch is not None:  # the hook reads what was written: the batch is evaluated once
+            on_batch(batch.sparkSession.read.schema(batch.schema).parquet(target), number)
 
     return (
         stream.writeStream.outputMode("complete")
