@@ -178,6 +178,7 @@ def extended(rivals: DataFrame, earlier) -> DataFrame:
 def covered(found: DataFrame, distinct: DataFrame, hits: DataFrame, unit: Unit, earlier) -> DataFrame:
     """(id, text_hash, ranges: [start, end) in units, sorted) of the texts with covered units."""
     told = distinct.select("seed", "content", "owner", "times").join(hits, ["seed", "content"], "left").where("times > 1 or hits is not null").drop("times")
+    told = settle(told, "told")  # so that the next join reads two tables, and Spark can split a content that many texts have
     met = found.join(told, ["seed", "content"])
     own = met.select("id", "text_hash", "at", "n", "hits", earlier(F.col("owner"), owner()).alias("copy")).where("copy or hits is not null")
     # windows of a piece lie within one width of each other: the first and the last hit cover what is between
