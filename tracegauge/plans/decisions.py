@@ -13,7 +13,7 @@ from .lanes import FX, GENERAL, LANE, PAIR, RULES, STRONG, truth
 from .registry import query
 from .scoring import AP, ARM, ROC, priced, ranked, recall_sql, scored
 
-B, SEED = 40, 7
+B, SEED = 1_000, 7
 HASH = "CAST(concat('0x', substr(md5({0}), 1, 8)) AS BIGINT)"
 
 
