@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schemas import beside, is_positive, refuse_if_any
+from ..session import settle
 
 
 def unmatched_predictions(points: DataFrame, truth: DataFrame) -> DataFrame:
@@ -45,16 +46,17 @@ def usable(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("primary_score").isNotNull())
 
 
-def score_join(points: DataFrame, truth: DataFrame, check: bool = True) -> DataFrame:
-    """Inner join to truth, refusing when any prediction has no truth row."""
-    if check:
-        refuse_if_any(
-            unmatched_predictions(points, truth).select("trace_id"),
-            "predictions carry a trace_id that is not in the data set",
-        )
+def score_join(points: DataFrame, truth: DataFrame) -> DataFrame:
+    """Inner join to truth, refusing when any prediction has no truth row.
+
+    The joined rows are settled: the refusal and every metric that follows read them, and
+    the predictions are folded to points once only.
+    """
+    known = truth.drop(*[c for c in truth.columns if c != "trace_id" and c in points.columns]).withColumn("_known", F.lit(True))
+    joined = settle(points.join(known, "trace_id", "left"), "scored")
+    refuse_if_any(joined.where("_known IS NULL").select("trace_id"), "predictions carry a trace_id that is not in the data set")
     return (
-        usable(points)
-        .join(truth.drop(*[c for c in truth.columns if c != "trace_id" and c in points.columns]), "trace_id", "inner")
+        usable(joined.where("_known").drop("_known"))
         .withColumn("y", is_positive())
         .withColumnRenamed("primary_score", "score")
     )

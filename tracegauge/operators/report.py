@@ -69,7 +69,7 @@ def report_tables(
     """Every section of the report as its own lazily planned table."""
     points = J.point_predictions(predictions)
     # Nearly every section starts from the scored rows, so they are written once.
-    scored = settle(J.score_join(points, truth, check=False).withColumn("threshold", threshold), "scored")
+    scored = J.score_join(points, truth).withColumn("threshold", threshold)
     ranked = R.ranked_groups(R.score_groups(scored, ARM), ARM)
     priced = O.with_cost(J.price_join(predictions, prices))
     at = R.confusion(scored, ARM, F.col("threshold"))

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..session import settle
-from ..operators import calibration as C, curve as K, gates as G, intervals as I, joins as J, operational as O, ranking as R, sampling as M
+from ..operators import calibration as C, curve as K, gates as G, intervals as I, joins as J, operational as O, ranking as R, runs as N, sampling as M
 from . import corpus
 from .corpus import RANKED, SCORED, with_views
 from .lanes import FX, GENERAL, LANE, PAIR, RULES, STRONG, truth
 from .registry import query
-from .scoring import AP, ARM, ROC, priced, ranked, recall_sql, scored
+from .scoring import AP, ARM, ROC, priced, ranked, recall_sql, scored, threshold
 
 B, SEED = 1_000, 7
 HASH = "CAST(concat('0x', substr(md5({0}), 1, 8)) AS BIGINT)"
@@ -41,7 +41,7 @@ _BASE = _BASE.replace("SELECT trace_id, y, score", "SELECT trace_id, ord, y, sco
 @query("a28_a30_bootstrap_intervals", with_views(SCORED, ", base AS (SELECT provider, ord, y, score FROM scored)" + _boot_sql("score", "provider") + " UNION ALL ".join(
     f" SELECT provider, '{m}' AS metric, round(quantile_cont({m}, 0.025), 6) AS lower, round(quantile_cont({m}, 0.975), 6) AS upper, count({m}) AS resamples_used FROM vals GROUP BY provider" for m in ("auprc", "auroc"))))
 def intervals(spark, sf):
-    out = I.bootstrap_interval(settle(scored(spark, sf), "scored"), ARM, resamples=B, seed=SEED, portable=True)
+    out = I.bootstrap_interval(scored(spark, sf), ARM, resamples=B, seed=SEED, portable=True)
     return out.select("provider", "metric", "lower", "upper", "resamples_used")
 
 
@@ -61,7 +61,7 @@ def paired(spark, sf):
 
 @query("a28_poisson_intervals")
 def poisson(spark, sf):
-    return I.bootstrap_interval(settle(scored(spark, sf), "scored"), ARM, resamples=B, seed=SEED, mode="poisson")
+    return I.bootstrap_interval(scored(spark, sf), ARM, resamples=B, seed=SEED, mode="poisson")
 
 
 @query("a35_verdict", with_views(SCORED, _BASE + _boot_sql("score_a score_b") + _DIFF + """, q AS (SELECT quantile_cont(auprc, 0.025) AS lo, quantile_cont(auprc, 0.975) AS hi FROM diff)
@@ -103,7 +103,7 @@ CASE WHEN x.provider <> 'boosted' THEN lo > 0 END AS beats_strong, CASE WHEN x.p
 po AS precision_ok, ro AS recall_ok, eo AS ece_ok, xo AS error_rate_ok, fo AS parse_failures_ok, po AND ro AND eo AND xo AND fo AS deployment_passed FROM x JOIN v ON x.provider = v.provider"""))
 def gates(spark, sf):
     # Differences stand in for a written comparison table; each grows from the scores.
-    rows = settle(scored(spark, sf), "scored")
+    rows = scored(spark, sf)
     versus = rows.groupBy("provider").agg((F.avg("score") - 0.4).alias("lower"), (F.avg("score") - 0.25).alias("upper"))
     base = versus.where("provider <> 'rules'").select("provider", F.col("lower").alias("auprc_lower"), F.col("upper").alias("recall_delta"))
     sizes = rows.groupBy("provider").agg(F.count(F.lit(1)).alias("n_records"))
@@ -134,17 +134,27 @@ def caveats(spark, sf):
     return G.caveats(facts)
 
 
-@query("a51_reference_metrics", with_views("truth predictions thresholds zero_repeat points scored groups ranked runs", f""", ok AS (SELECT run_id FROM runs WHERE status = 'complete' AND split = 'test'),
+_NEWEST = """, newest AS (SELECT provider, run_id FROM (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY created_utc DESC, run_id DESC) AS k FROM runs WHERE status = 'complete' AND split = 'test') q WHERE k = 1),
+mine AS (SELECT p.* FROM predictions p JOIN newest ON p.run_id = newest.run_id), """ + ", ".join(f"{n} AS ({corpus.SHARED[n].replace('FROM predictions', 'FROM mine')})" for n in ("zero_repeat", "points", "scored", "groups", "ranked"))
+
+
+@query("a51_reference_metrics", with_views("truth predictions thresholds runs", _NEWEST + f""",
 e AS (SELECT provider, score, y, row_number() OVER (PARTITION BY provider ORDER BY score, ord) AS k, count(*) OVER (PARTITION BY provider) AS n FROM scored),
 b AS (SELECT provider, floor(CAST(k * 10 - 1 AS DOUBLE) / n) AS bin, count(*) AS m, abs(avg(CAST(y AS DOUBLE)) - avg(score)) AS gap, max(n) AS n FROM e GROUP BY ALL),
 ec AS (SELECT provider, sum(CAST(m AS DOUBLE) / n * gap) AS ece FROM b GROUP BY provider),
-m AS (SELECT provider, {AP} AS auprc, {ROC} AS auroc FROM ranked GROUP BY provider)
-SELECT m.provider, round(auprc, 6) AS auprc, round(auroc, 6) AS auroc, round(ece, 6) AS ece, 'scored' AS reason FROM m JOIN ec ON m.provider = ec.provider"""))
+m AS (SELECT provider, {AP} AS auprc, {ROC} AS auroc FROM ranked GROUP BY provider), v AS (SELECT DISTINCT provider FROM runs)
+SELECT v.provider, w.run_id, round(auprc, 6) AS auprc, round(auroc, 6) AS auroc, round(ece, 6) AS ece, CASE WHEN w.run_id IS NULL THEN 'no complete run' WHEN m.provider IS NULL THEN 'nothing scored' WHEN auprc IS NULL THEN 'one class only' ELSE 'scored' END AS reason
+FROM v LEFT JOIN newest w ON v.provider = w.provider LEFT JOIN m ON v.provider = m.provider LEFT JOIN ec ON v.provider = ec.provider"""))
 def reference(spark, sf):
-    rows = settle(scored(spark, sf), "scored")
+    """The newest complete run of each provider on the split; a provider without numbers stays, with the reason."""
+    runs = corpus.view(spark, sf, "runs").select("provider", "run_id", "created_utc", "status", "split")
+    newest = N.latest_run(runs.where("status = 'complete' AND split = 'test'")).select("provider", "run_id")
+    mine = corpus.view(spark, sf, "predictions").join(newest.select("run_id"), "run_id", "left_semi")
+    rows = J.score_join(J.point_predictions(mine), truth(spark, sf).drop("ord")).withColumn("threshold", threshold())
     rank = R.ranked_groups(R.score_groups(rows, ARM), ARM).groupBy("provider").agg(R.auprc_of().alias("auprc"), R.auroc_of().alias("auroc"))
-    return rank.join(C.ece(C.reliability_bins(rows, ARM), ARM), "provider").withColumn(
-        "reason", F.when(F.col("auprc").isNull(), "one class only").otherwise("scored"))
+    known = runs.select("provider").distinct().join(newest, "provider", "left").join(rank.withColumn("_seen", F.lit(True)), "provider", "left")
+    reason = F.when(F.col("run_id").isNull(), "no complete run").when(F.col("_seen").isNull(), "nothing scored").when(F.col("auprc").isNull(), "one class only").otherwise("scored")
+    return known.join(C.ece(C.reliability_bins(rows, ARM), ARM), "provider", "left").select("provider", "run_id", "auprc", "auroc", "ece", reason.alias("reason"))
 
 
 # -- curves ---------------------------------------------------------------------------

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import gates as G
 from ..streaming import live as T
+from ..session import settle
 from . import corpus
-from .corpus import with_views
+from .corpus import SCORED, with_views
+from .decisions import _BASE, _DIFF, _boot_sql, verdict
+from .lanes import LANE
 from .registry import query
 from .scoring import threshold
 
@@ -72,10 +75,13 @@ def run_status(spark, sf):
     return T.run_status(runs, corpus.view(spark, sf, "predictions"), expected)
 
 
-@query("t6_deferred_statistics", with_views("runs", "SELECT run_id, status, CASE WHEN status = 'complete' AND concurrency > 1 THEN 'wins' ELSE 'pending' END AS verdict FROM runs"))
+@query("t6_deferred_statistics", with_views(SCORED + " runs", _BASE + _boot_sql("score_a score_b") + _DIFF + f""", q AS (SELECT quantile_cont(auprc, 0.025) AS lo, quantile_cont(auprc, 0.975) AS hi FROM diff)
+SELECT run_id, status, CASE WHEN status <> 'complete' OR provider <> '{LANE}' THEN 'pending' ELSE (SELECT CASE WHEN lo IS NULL THEN 'not_computable' WHEN lo > 0 THEN 'wins' WHEN hi < 0 THEN 'loses' ELSE 'no_difference' END FROM q) END AS verdict FROM runs"""))
 def deferred(spark, sf):
+    """A live snapshot beside a comparison that a bootstrap has written; runs that have none yet are pending."""
     runs = corpus.view(spark, sf, "runs")
-    written = runs.where("status = 'complete' AND concurrency > 1").select("run_id", F.lit("wins").alias("verdict"))
+    said = verdict(spark, sf).select("verdict", F.lit(LANE).alias("provider"))
+    written = settle(runs.where("status = 'complete'").join(said, "provider").select("run_id", "verdict"), "comparison")
     return G.deferred(runs.select("run_id", "status"), written)
 
 

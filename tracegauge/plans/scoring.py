@@ -24,7 +24,7 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     truth = corpus.view(spark, sf, "truth").drop("ord")
-    return J.score_join(points(spark, sf), truth, check=False).withColumn("threshold", threshold())
+    return J.score_join(points(spark, sf), truth).withColumn("threshold", threshold())
 
 
 def ranked(spark: SparkSession, sf: str) -> DataFrame:
@@ -318,7 +318,7 @@ def point_rows(spark, sf):
 )
 def score_join(spark, sf):
     truth = corpus.view(spark, sf, "truth").drop("ord")
-    return J.score_join(points(spark, sf), truth, check=True).select("provider", "trace_id", "label", "y", "score")
+    return J.score_join(points(spark, sf), truth).select("provider", "trace_id", "label", "y", "score")
 
 
 @query(
