@@ -141,7 +141,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, teaches: Column, id: str
     ids = docs.where(teaches).select(F.col(f"`{id}`").alias("id")).where("id is not null").distinct().join(own, "id")
     # a share a little over what is wanted goes on to the sort, however many labels there are
     share = min(1.0, 1.3 * most / max(1, ids.count()))
-    ids = ids.where(F.xxhash64("id") <= F.lit(int((2 * share - 1) * ((1 << 63) - 1)))).orderBy(F.xxhash64("id"), "id").limit(most)
+    ids = ids.where(F.xxhash64("id") <= F.lit(min((1 << 63) - 1, int((2 * share - 1) * (1 << 63))))).orderBy(F.xxhash64("id"), "id").limit(most)
     texts = docs.where(teaches).select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     return texts.join(F.broadcast(ids), "id").select("text", "label", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(PARTS)).cast("int").alias("part"))
 
