@@ -36,6 +36,17 @@ def test_query_recall_scores_and_order(spark):
     assert all([x[0] for x in v] == list(range(1, 21)) and [x[1:] for x in v] == sorted(x[1:] for x in v) for v in by.values())
 
 
+def test_a_common_vector_hides_no_neighbour(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(r.standard_normal((600, 16)))]
+    rows = [(i, rows[5][1] if i % 3 == 1 else v) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = exact(rows, lambda i: i % 20 == 0, 20)
+    got = {(x.query_id, x.vec_id) for x in ann.search(df, F.col("id") % 20 == 0, k=20).collect()}
+    near = {(q, i) for q, x in want.items() for i, _ in x}
+    assert len(got) == len(near) and len(got & near) / len(near) >= 0.9
+
+
 def test_ties_odd_vectors_and_few_candidates(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.0]), (4, [-1.0, 0.5]), (5, [0.0, 0.0]), (6, None), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, [None, 1.0]), (10, []), (None, [1.0, 1.0]), (11, [1.0]), (20, [3.0, 1.0]), (20, [0.0, 1.0])]

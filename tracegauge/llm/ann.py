@@ -98,18 +98,24 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id", v
         out: list[tuple] = []
         if asks.any() and not asks.all():
             vectors = np.stack(table.column("vector").to_numpy()).astype(np.float64)
-            order = np.argsort(ids[~asks], kind="stable")
-            own_ids, own_vectors = ids[~asks][order], vectors[~asks][order]
+            # Equal vectors collide alike: they are one entry of the index, with their k + 1 least ids, so that a
+            # common vector does not fill a query's share of verified vectors.
+            different, entry = np.unique(vectors[~asks], axis=0, return_inverse=True)
+            order = np.lexsort((ids[~asks], entry))
+            own_ids, first_of = ids[~asks][order], np.searchsorted(entry[order], np.arange(len(different) + 1))
             query_ids, query_vectors = ids[asks], vectors[asks]
-            for first in range(0, len(own_ids), 2 * BLOCK):  # blocks are dealt by hash; ranks need under 2 ** 16 vectors
-                index = Collisions(own_vectors[first : first + 2 * BLOCK], longest)
-                block_ids = own_ids[first : first + 2 * BLOCK]
+            for first in range(0, len(different), 2 * BLOCK):  # blocks are dealt by hash; ranks need under 2 ** 16 vectors
+                index = Collisions(different[first : first + 2 * BLOCK], longest)
                 for a in range(0, len(query_ids), STEP):
                     for i, found in index.candidates(query_vectors[a : a + STEP], k + 1):
-                        score = (index.vectors[found] * query_vectors[a + i]).sum(1)
-                        best = np.lexsort((block_ids[found], -score))
-                        best = best[block_ids[found[best]] != query_ids[a + i]][:k]
-                        out.append((np.full(len(best), query_ids[a + i]), block_ids[found[best]], score[best]))
+                        begin = first_of[first + found]
+                        size = np.minimum(first_of[first + found + 1] - begin, k + 1)
+                        at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                        score = np.repeat((index.vectors[found] * query_vectors[a + i]).sum(1), size)
+                        near = own_ids[at]
+                        best = np.lexsort((near, -score))
+                        best = best[near[best] != query_ids[a + i]][:k]
+                        out.append((np.full(len(best), query_ids[a + i]), near[best], score[best]))
         columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": pa.array(columns[0].astype(np.int64)), "vec_id": pa.array(columns[1].astype(np.int64)), "score": pa.array(columns[2].astype(np.float64))})
 
