@@ -154,9 +154,9 @@ def owner() -> Column:
     return F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("text_hash"), F.col("at"))
 
 
-def contents(found: DataFrame, payload: str) -> DataFrame:
-    """(seed, content, owner: the earliest, times, payload) of the different pieces."""
-    return found.groupBy("seed", "content").agg(F.min(owner()).alias("owner"), F.count("*").alias("times"), F.first(payload).alias(payload))
+def contents(found: DataFrame, *payload: str) -> DataFrame:
+    """(seed, content, owner: the earliest, times) of the different pieces, and their payload."""
+    return found.groupBy("seed", "content").agg(F.min(owner()).alias("owner"), F.count("*").alias("times"), *[F.first(p).alias(p) for p in payload])
 
 
 def contested(distinct: DataFrame) -> DataFrame:
@@ -164,12 +164,17 @@ def contested(distinct: DataFrame) -> DataFrame:
     return distinct.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def extended(rivals: DataFrame, earlier) -> DataFrame:
+def rivals(rows: DataFrame, unit: Unit, seeds: DataFrame, payload: str) -> DataFrame:
+    """Contents of contested seeds with their payload, which only they need; a few of other seeds may pass the filter."""
+    return contents(pieces(rows, unit, slot_bitmap(seeds, "seed", BITS), payload), payload)
+
+
+def extended(apart: DataFrame, earlier) -> DataFrame:
     """(seed, content, hits: windows of the content that stand in an earlier one) of contents (seed, content, owner, windows).
 
     ``earlier(least, owner)`` says whether the window's least owner stands before the content's.
     """
-    each = rivals.select("seed", "content", "owner", F.posexplode("windows").alias("k", "window"))
+    each = apart.select("seed", "content", "owner", F.posexplode("windows").alias("k", "window"))
     least = each.groupBy("seed", "window").agg(F.min("owner").alias("least"), F.count("*").alias("n")).where("n > 1").select("seed", "window", "least")
     hit = each.join(least, ["seed", "window"]).where(earlier(F.col("least"), F.col("owner")))
     return hit.groupBy("seed", "content").agg(F.sort_array(F.collect_set("k")).alias("hits"))
@@ -201,6 +206,3 @@ def list_ints(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.asarray(column.offsets)
     return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
-
-def settled_contents(rows: DataFrame, unit: Unit, bitmap, payload: str) -> DataFrame:
-    return settle(contents(pieces(rows, unit, bitmap, payload), payload), "contents")

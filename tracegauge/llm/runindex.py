@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import kernels as K
 from .common import settle
-from .passages import Unit, Windows, byte_codes, contested, covered, extended, list_ints, pieces, rows_of, seed_filter, settled_contents, with_ranges
+from .passages import Unit, Windows, byte_codes, contents, contested, covered, extended, list_ints, pieces, rivals, rows_of, seed_filter, with_ranges
 
-WIDTH, GRAM = 100, 32
+WIDTH, GRAM = 100, 48
 SHARD, BLOCK_BYTES = 4096, 1 << 19
 _U = np.uint64
 
@@ -109,13 +109,13 @@ class RunIndex:
         return (np.concatenate(content), np.concatenate(offset)) if content else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def shard_hits(rivals: DataFrame, width: int) -> DataFrame:
+def shard_hits(apart: DataFrame, width: int) -> DataFrame:
     """(seed, content, hits) of contents (seed, content, owner, bytes) through run-length indexes.
 
     Rows come sorted by seed; an index is built of whole seeds, some hundred thousand
     bytes at a time.
     """
-    flat = rivals.select("seed", "content", "owner.no_id", "owner.id", "owner.text_hash", "owner.at", "bytes")
+    flat = apart.select("seed", "content", "owner.no_id", "owner.id", "owner.text_hash", "owner.at", "bytes")
     ready = flat.repartition("seed").sortWithinPartitions("seed", "no_id", "id", "text_hash", "at").select("seed", "content", "bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,9 +156,9 @@ def shard_hits(rivals: DataFrame, width: int) -> DataFrame:
     return ready.mapInArrow(run, "seed long, content long, hits array<int>")
 
 
-def window_hashes(rivals: DataFrame, unit: Unit) -> DataFrame:
+def window_hashes(apart: DataFrame, unit: Unit) -> DataFrame:
     """Contents with the hash of each of their windows in place of their bytes."""
-    flat = rivals.select("seed", "content", "owner", "bytes")
+    flat = apart.select("seed", "content", "owner", "bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,12 +180,15 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, id: str = "doc_id", tex
     """(id, text_hash, ranges) in bytes of every text with strings of ``width`` bytes that start earlier."""
     unit = Unit(byte_codes, width, min(GRAM, width), 1 << 19)
     rows = rows_of(docs, id, text)
-    bitmap = seed_filter(rows, unit, per_text=False)
-    distinct = settled_contents(rows, unit, bitmap, "bytes")
-    rivals = distinct.join(contested(distinct), "seed")
-    small, large = rivals.where(F.col("n") <= shard), rivals.where(F.col("n") > shard)
-    hits = settle(shard_hits(small, width).unionByName(extended(window_hashes(large, unit), _earlier)), "hits")
-    return settle(covered(pieces(rows, unit, bitmap), distinct, hits, unit, _earlier), "ranges")
+    found = settle(pieces(rows, unit, seed_filter(rows, unit, per_text=False)), "pieces")
+    distinct = settle(contents(found), "contents")
+    seeds = settle(contested(distinct), "seeds")
+    large = settle(seeds.where(F.col("n") > shard).select("seed"), "large")
+    apart = rivals(rows, unit, seeds, "bytes")
+    indexed = shard_hits(apart.join(large, "seed", "left_anti"), width)
+    matched = extended(window_hashes(apart.join(large, "seed", "left_semi"), unit), _earlier)
+    hits = settle(indexed.unionByName(matched), "hits")
+    return settle(covered(found, distinct, hits, unit, _earlier), "ranges")
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ("doc_id",), id: str = "doc_id", text: str = "text", shard: int = SHARD) -> DataFrame:
