@@ -40,7 +40,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _plain(docs)
     model = toxicity.train(rows, table(spark, sf_dir, "labels"), F.lit(True))
-    scored = model.score(rows.withColumn("__body", F.col("text")), tuple(rows.columns), text="__body")
+    scored = model.score(rows, tuple(rows.columns))
     return _named(scored.where(F.col("score") < TOXIC).drop("score"), docs)
 
 
@@ -69,8 +69,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _plain(docs).withColumn("__body", F.col("text"))
-    made = bpe.encode_decode(rows, vocabulary_path(), tuple(rows.columns), text="__body")
+    rows = _plain(docs)
+    made = bpe.encode_decode(rows, vocabulary_path(), tuple(rows.columns))
     return _named(made.withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit(""))).drop("decoded"), docs)
 
 

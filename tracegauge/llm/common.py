@@ -48,20 +48,26 @@ def crc_mod(column: Column, n: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % n
 
 
+MAP_BYTES = 1 << 20
+
+
 def map_texts(docs: DataFrame, keep: list[str], text: str, fn: Callable, schema: str) -> DataFrame:
     """One output row per input row: the kept columns and what ``fn`` gives for a chunk of texts.
 
     ``fn(data, offsets) -> list of arrays``, in the order of ``schema`` after the kept
-    columns. A chunk is some megabytes of whole texts; a null text is an empty one.
+    columns. A chunk is about a megabyte of whole texts; a null text is an empty one. A kept
+    string column that is the text itself goes to Python once.
     """
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    own = text in keep and docs.schema[text].dataType.simpleString() == "string"
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if own else [F.col(f"`{text}`").cast("string").alias("__text")]))
+    place = keep.index(text) if own else len(keep)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
     names = [x.strip().split()[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = buffers(batch.column(len(keep)))
-            for a, b in chunks(offsets):
+            data, offsets = buffers(batch.column(place))
+            for a, b in chunks(offsets, MAP_BYTES):
                 made = fn(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(len(keep))], *map(pa.array, made)], names=[*keep, *names])
 

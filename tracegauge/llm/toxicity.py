@@ -205,11 +205,13 @@ class Model:
 
     def score(self, docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
         """Kept columns and ``score`` (0 to 1) of every row."""
-        named = docs.select(*[F.col(f"`{c}`").alias(f"__keep{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("__body"))
-        back = [F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep)]
+        names = [f"__keep{i}" for i in range(len(keep))]
+        body = names[keep.index(text)] if text in keep else "__body"
+        named = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], *([] if text in keep else [F.col(f"`{text}`").alias("__body")]))
+        back = [F.col(n).alias(c) for c, n in zip(keep, names)]
         if self.trees is None:
             return named.select(*back, F.lit(self.constant).alias("score"))
-        made = self.calibration.transform(self.margin(self.raw(named, named.columns[:-1], "__body")))
+        made = self.calibration.transform(self.margin(self.raw(named, names, body)))
         return made.select(*back, F.least(F.greatest(F.col("prediction"), F.lit(0.0)), F.lit(1.0)).alias("score"))
 
 
