@@ -68,9 +68,9 @@ class Windows:
         if not len(self.first):
             self.place, self.seed = np.zeros(0, np.int64), np.zeros(0, _U)
             return
-        i = np.arange(n - unit.gram + 1)
-        grams = self.hash(i, i + unit.gram)
-        keyed = K.sliding_min((grams & _HIGH) | i.astype(_U), unit.width - unit.gram + 1)[self.first]
+        m = n - unit.gram + 1
+        grams = K.mix((self.prefix[unit.gram : unit.gram + m] - self.prefix[:m]) * self.inverse[:m])
+        keyed = K.sliding_min((grams & _HIGH) | np.arange(m, dtype=_U), unit.width - unit.gram + 1)[self.first]
         self.place = (keyed & ~_HIGH).astype(np.int64)
         self.seed = grams[self.place]
 

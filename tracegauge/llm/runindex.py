@@ -34,22 +34,24 @@ SHARD, BLOCK_BYTES = 4096, 1 << 19
 _U = np.uint64
 
 
-def suffix_ranks(codes: np.ndarray, enough: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Rank of every suffix by its first ``enough`` codes at least, by prefix doubling; also the ranks of each round."""
+def suffix_ranks(codes: np.ndarray, enough: int) -> np.ndarray:
+    """Rank of every suffix by its first ``enough`` codes at least: some codes packed into one number, then prefix doubling."""
     n = len(codes)
-    _, rank = np.unique(codes, return_inverse=True)
-    size, rounds = 1, [(1, rank)]
-    while size < enough and rank.max(initial=0) < n - 1:
+    bits = max(1, int(codes.max(initial=0) + 1).bit_length())
+    size = max(1, 62 // bits)
+    pair = np.zeros(n, np.int64)
+    for j in range(min(size, n)):
+        pair[: n - j] |= (codes[j:] + 1) << (bits * (size - 1 - j))
+    while True:
+        order = np.argsort(pair)
+        ordered = pair[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.append(0, ordered[1:] != ordered[:-1]))[:n]
+        if size >= enough or rank.max(initial=0) >= n - 1:
+            return rank
         pair = rank * (n + 1)
         pair[: n - size] += rank[size:] + 1
-        order = np.argsort(pair, kind="stable")
-        new = np.zeros(n, np.int64)
-        new[1:] = pair[order][1:] != pair[order][:-1]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
         size *= 2
-        rounds.append((size, rank))
-    return rank, rounds
 
 
 class RunIndex:
@@ -67,7 +69,7 @@ class RunIndex:
         inside[ends] = False
         text[inside] = data.astype(np.int64) + m
         text[ends] = np.arange(m)
-        rank, _ = suffix_ranks(text, int(np.diff(bounds).max(initial=0)) + 1)
+        rank = suffix_ranks(text, int(np.diff(bounds).max(initial=0)) + 1)
         rows = np.empty(n, np.int64)  # the suffix array; not kept
         rows[rank] = np.arange(n)
         transform = text[rows - 1]
@@ -82,13 +84,15 @@ class RunIndex:
         np.cumsum(K.mix(text.astype(_U) + _U(1)) * K.powers(K.BASE, n), out=codes[1:])
         far = np.minimum(rows + width, n)
         window = K.mix((codes[far] - codes[rows]) * K.powers(K.BASE_INVERSE, n + 1)[rows])
-        self.class_start = np.flatnonzero(np.append(True, window[1:] != window[:-1]))
-        self.sample = np.minimum.reduceat(rows, self.class_start)
+        first = np.append(True, window[1:] != window[:-1])
+        self.sample = np.minimum.reduceat(rows, np.flatnonzero(first))
+        # directories: the run and the class of each row of this block, so that a step costs no search
+        self.run_of, self.class_of = np.cumsum(np.diff(transform, prepend=-1) != 0) - 1, np.cumsum(first) - 1
         self.terminators, self.lengths, self.begin, self.width = m, np.diff(bounds), bounds[:-1] + np.arange(m), width
 
     def back(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(symbol before, row of the suffix that starts with it)."""
-        run = np.searchsorted(self.start, row, "right") - 1
+        run = self.run_of[row]
         return self.head[run], self.mapped[run] + row - self.start[run]
 
     def marks(self) -> tuple[np.ndarray, np.ndarray]:
@@ -102,8 +106,7 @@ class RunIndex:
                 break
             _, row = self.back(row)
             long = self.lengths[own] - left >= self.width
-            at = np.searchsorted(self.class_start, row[long], "right") - 1
-            earlier = self.sample[at] < self.begin[own[long]] + left[long]
+            earlier = self.sample[self.class_of[row[long]]] < self.begin[own[long]] + left[long]
             content.append(own[long][earlier])
             offset.append(left[long][earlier])
         return (np.concatenate(content), np.concatenate(offset)) if content else (np.zeros(0, np.int64), np.zeros(0, np.int64))
