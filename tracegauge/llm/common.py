@@ -13,6 +13,7 @@ from tracegauge.session import work_folder
 from .kernels import buffers, chunks
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,14 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 @contextmanager
-def frees_shuffles(spark: SparkSession):
-    """Spark drops the shuffle files of each job that ends in this block."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+def lean_jobs(spark: SparkSession):
+    """Jobs that end in this block drop their shuffle files, and pass texts to Python a thousand at a time."""
+    own = {CLEANUP: "true", BATCH_ROWS: "1000"}
+    before = {k: spark.conf.get(k) for k in own}
     try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def settle(rows: DataFrame, name: str) -> DataFrame:
@@ -38,7 +42,7 @@ def settle(rows: DataFrame, name: str) -> DataFrame:
     """
     spark = rows.sparkSession
     folder = work_folder(spark, name)
-    with frees_shuffles(spark):
+    with lean_jobs(spark):
         rows.write.parquet(folder)
     return spark.read.schema(rows.schema).parquet(folder)
 

@@ -86,6 +86,13 @@ class Windows:
         return np.flatnonzero(new)
 
 
+def passed(found: DataFrame, bitmap) -> DataFrame:
+    """The settled pieces; executors need the filter no more."""
+    out = settle(found, "pieces")
+    bitmap.unpersist()
+    return out
+
+
 def rows_of(docs: DataFrame, id: str, text: str) -> DataFrame:
     body = F.col(f"`{text}`").cast("string")
     return docs.select(F.col(f"`{id}`").alias("id"), F.xxhash64(body).alias("text_hash"), body.alias("body"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import kernels as K
 from .common import settle
-from .passages import Unit, Windows, byte_codes, contents, contested, covered, extended, list_ints, pieces, rivals, rows_of, seed_filter, with_ranges
+from .passages import Unit, Windows, byte_codes, contents, contested, covered, extended, list_ints, passed, pieces, rivals, rows_of, seed_filter, with_ranges
 
 WIDTH, GRAM = 100, 48
 SHARD, BLOCK_BYTES = 4096, 1 << 19
@@ -183,7 +183,8 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, id: str = "doc_id", tex
     """(id, text_hash, ranges) in bytes of every text with strings of ``width`` bytes that start earlier."""
     unit = Unit(byte_codes, width, min(GRAM, width), 1 << 19)
     rows = rows_of(docs, id, text)
-    found = settle(pieces(rows, unit, seed_filter(rows, unit, per_text=False)), "pieces")
+    bitmap = seed_filter(rows, unit, per_text=False)
+    found = passed(pieces(rows, unit, bitmap), bitmap)
     distinct = settle(contents(found), "contents")
     seeds = settle(contested(distinct), "seeds")
     large = settle(seeds.where(F.col("n") > shard).select("seed"), "large")
@@ -202,7 +203,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] =
         for batch in batches:
             data, offsets = K.buffers(batch.column(len(names)))
             (begin, at), (end, _) = (list_ints(batch.column(len(names) + k)) for k in (1, 2))
-            for x, y in K.chunks(offsets):
+            for x, y in K.chunks(offsets, 1 << 20):
                 low = offsets[x]
                 own = np.repeat(np.arange(x, y), np.diff(at[x : y + 1]))
                 part = slice(at[x], at[y])

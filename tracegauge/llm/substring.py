@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import kernels as K
 from .common import settle
-from .passages import Unit, contents, contested, covered, extended, list_ints, pieces, rivals, rows_of, seed_filter, with_ranges, word_codes
+from .passages import Unit, contents, contested, covered, extended, list_ints, passed, pieces, rivals, rows_of, seed_filter, with_ranges, word_codes
 
 WINDOW, GRAM = 13, 5
 
@@ -34,7 +34,8 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, id: str = "doc_id", t
     """(id, text_hash, ranges) in words of every text with sequences that start in a document with a smaller id."""
     unit = Unit(word_codes, window, min(GRAM, window), 2 << 20)
     rows = rows_of(docs, id, text)
-    found = settle(pieces(rows, unit, seed_filter(rows, unit, per_text=True)), "pieces")
+    bitmap = seed_filter(rows, unit, per_text=True)
+    found = passed(pieces(rows, unit, bitmap), bitmap)
     distinct = settle(contents(found), "contents")
     hits = settle(extended(rivals(rows, unit, contested(distinct), "windows"), _earlier), "hits")
     return settle(covered(found, distinct, hits, unit, _earlier), "ranges")
