@@ -43,3 +43,20 @@ def test_line_bounds_follow_rows_and_newlines():
     data = np.frombuffer(b"a\nb\n\nc\n", np.uint8)
     bounds, per_row = lines.line_offsets(data, np.array([0, 4, 4, 5, 7]))
     assert per_row.tolist() == [3, 1, 2, 2] and bounds.tolist() == [0, 2, 4, 4, 4, 5, 5, 7, 7]
+
+
+def test_passages_blank_lines_and_fixed_orders_recur(docs_table):
+    r = random.Random(9)
+    prose = lambda: " ".join("".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(4)) for _ in range(9))
+    passage = ["first line of the passage", "a second line follows it", "here is the third line", "and the last of them"]
+    docs = [(i, "\n".join([prose(), *passage, prose()])) for i in range(12)]
+    docs += [(20 + i, "\n".join([prose(), "", "alone between two blank lines", "", prose()])) for i in range(12)]
+    docs += [(40 + i, f"start of job {i} on host\nread {i} rows from the table\nend of job {i} with success") for i in range(12)]
+    docs += [(60 + i, "one copy of this text\nand its second line here") for i in range(20)]
+    docs += [(90 + i, "\n".join([prose(), "", "a line of fewer documents", "", prose()])) for i in range(11)]
+    got = {r.doc_id: (r.n_dropped, r.text) for r in lines.drop_lines(docs_table(docs)).collect()}
+    gone = {range(1, 12): 4, range(21, 32): 1, range(41, 52): 3}
+    for d, text in docs:
+        n = next((k for ids, k in gone.items() if d in ids), 0)
+        assert got[d][0] == n and (n or got[d][1] == text)
+    assert got[1][1] == "\n".join(docs[1][1].split("\n")[::5]) and got[41][1] == ""

@@ -6,8 +6,11 @@ wildcard; the tokens after the leading ones are cut into ``BLOCKS`` blocks, and
 whole line each template with one block as a wildcard is counted, so fields that vary
 without digits (names, titles) generalise too. A template is recurring when its first
 lines in at least ``LEAST`` documents stand between different neighbours: whole copies of a
-document share neighbours and are left to document dedup. Lines of recurring templates are
-dropped everywhere but in the document with the least id that has the template.
+document share neighbours and are left to document dedup. A template in at least ``WIDE``
+different texts recurs whatever its neighbours are, so that blank lines, the other lines of a
+repeated passage and a fixed order of lines hide nothing; whole copies are one text there, near
+copies are not. Lines of recurring templates are dropped everywhere but in the document with
+the least id that has the template.
 
 A line of under ``SHORTEST`` tokens, or with half of its tokens variable, is no template;
 block wildcards need ``GENERAL`` tokens. Templates are compared by 64-bit hashes.
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import kernels as K
 from .common import settle
 
-LEADING, BLOCKS, LEAST, SHORTEST, GENERAL = 2, 3, 6, 3, 6
+LEADING, BLOCKS, LEAST, WIDE, SHORTEST, GENERAL = 2, 3, 6, 12, 3, 6
 VARIABLE = K.byte_set((48, 57), (64, 64))
 _U = np.uint64
 _WILD = _U(0x5DEECE66D1CE4E5B)
@@ -109,11 +112,16 @@ def line_table(docs: DataFrame, id: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, text_hash long, line int, templates array<long>, firsts array<long>, around long")
 
 
-def recurring(lines: DataFrame, least: int = LEAST) -> DataFrame:
-    """(template, first) of the templates met between at least ``least`` different neighbours."""
+def recurring(lines: DataFrame, least: int = LEAST, wide: int = WIDE) -> DataFrame:
+    """(template, first) of the templates met between at least ``least`` different neighbours or in at least ``wide`` different texts."""
     met = lines.select(F.explode("firsts").alias("template"), "around", "id")
-    placed = met.groupBy("template", "around").agg(F.min("id").alias("first"))
-    return placed.groupBy("template").agg(F.count("*").alias("n"), F.min("first").alias("first")).where(F.col("n") >= least).select("template", "first")
+    placed = met.groupBy("template", "around").agg(F.min("id").alias("first"), F.count("*").alias("rows"))
+    counted = placed.groupBy("template").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"), F.min("first").alias("first"))
+    counted = settle(counted.where((F.col("n") >= least) | (F.col("rows") >= wide)), "counted")
+    few = counted.where(F.col("n") < least).select("template", "first")
+    held = lines.select("text_hash", F.explode("firsts").alias("template")).join(few, "template").groupBy("template", "first", "text_hash").count()
+    spread = held.groupBy("template", "first").agg(F.count("*").alias("texts")).where(F.col("texts") >= wide)
+    return counted.where(F.col("n") >= least).select("template", "first").unionByName(spread.select("template", "first"))
 
 
 def drop_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
