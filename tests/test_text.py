@@ -261,3 +261,20 @@ def test_cost_needs_a_verified_price(spark):
                                  "i bigint, o bigint, a double, b double, v boolean")
     got = [r[0] for r in rows.select(S.cost_usd(*[F.col(c) for c in "ioabv"])).collect()]
     assert got == [pytest.approx(50 / 1e6), 0.0, None, None, None]
+
+
+def test_final_assistant_text_of_events_in_array_order(spark):
+    kind = "array<struct<type:string,text:string>>"
+    said = lambda *texts: [("assistant_message", t) for t in texts]
+    for events, want in (([*said("a", "b"), ("tool_result", "c"), *said("", None)], "b"), ([("user_message", "x")], ""), ([], ""), (None, "")):
+        assert one(spark, events, X.final_assistant_text, kind) == want
+
+
+def test_final_text_of_a_conversation_is_an_aggregate_of_bounded_state(spark, tmp_path):
+    from tracegauge.plans import load
+
+    rows = [(1, 0, "assistant", "a"), (1, 1, "assistant", "b"), (1, 2, "assistant", ""), (1, 3, "user", "c"), (2, 0, "user", "d"), (3, 0, "assistant", None)]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = load()[0]["p8_final_assistant_text"](spark, str(tmp_path))
+    assert sorted(map(tuple, out.collect())) == [(1, "b"), (2, ""), (3, "")]
+    assert "collect_list" not in out._jdf.queryExecution().toString()

@@ -108,9 +108,9 @@ def build_events(spark, sf):
 
 @query("p8_final_assistant_text", "SELECT conv_id, coalesce(max_by(text, turn) FILTER (WHERE role = 'assistant' AND text <> ''), '') AS final_text FROM conversations GROUP BY conv_id")
 def final_text(spark, sf):
-    kind = F.when(F.col("role") == "assistant", "assistant_message").otherwise("tool_result").alias("type")
-    turns = corpus.base(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", kind, "text"))).alias("events"))
-    return turns.select("conv_id", X.final_assistant_text(F.col("events")).alias("final_text"))
+    said = (F.col("role") == "assistant") & (F.col("text") != "")
+    last = F.max_by("text", F.when(said, F.struct("turn", "text")))
+    return corpus.base(spark, sf, "conversations").groupBy("conv_id").agg(F.coalesce(last, F.lit("")).alias("final_text"))
 
 
 @query("p1_inference_view", "SELECT concat('doc/', CAST(doc_id AS STRING)) AS trace_id, text AS goal FROM documents")
