@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, decontam, langid, lines, lm, runindex, simhash, substring, toxicity
+from . import ann, bpe, decontam, langid, lines, lm, phrases, rankbpe, resample, runindex, simhash, substring, toxicity
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,24 @@ def op5_run_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
     return made.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+@query
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = resample.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), n=1, buckets=10_000, percent=10, least_words=20, seed=2024)
+    return made.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = phrases.top(phrases.collocations(documents(spark, sf_dir), least=100, longest=5, share=100), 2000)
+    return made.select(F.col("grp").alias("lang"), F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
+@query
+def op13_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    made = rankbpe.encode_decode(documents(spark, sf_dir), vocabulary_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
