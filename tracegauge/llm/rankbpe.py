@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 
 from .common import map_texts
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 CACHED_BYTES = 64
 LONG_MATCH = 1 << 12
 LONG_TEXT = 1 << 20
@@ -51,50 +51,24 @@ def packed_integers(values: Iterable[int] = ()) -> array:
 
 
 class RankQueue:
-    """Buckets of positions by merge rank under a bitmap of two levels; empty between two words.
+    """Buckets of positions by merge rank and the lower words of their bitmap; empty between two words.
 
     Positions are kept as their complements, so that the last of a sorted bucket is the
-    leftmost. ``kind`` makes a bucket: lists, or packed integers for long words.
+    leftmost. ``kind`` makes a bucket: lists, or packed integers for long words. The loop that
+    pushes and pops stands in ``Codec.merge``, as calls would take longer than the steps.
     """
 
-    __slots__ = ("buckets", "high", "kind", "low", "sorted")
-
     def __init__(self, ranks: int, kind: Callable[[], list | array] = list):
-        self.kind = kind
         self.buckets = [kind() for _ in range(ranks)]
         self.low = [0] * (1 + (ranks >> WORD_BITS))
-        self.high = 0
-        self.sorted: set[int] = set()
-
-    def push(self, rank: int, place: int) -> None:
-        bucket = self.buckets[rank]
-        if not bucket:
-            word = rank >> WORD_BITS
-            self.low[word] |= BIT[rank & WORD_MASK]
-            self.high |= 1 << word
-        bucket.append(~place)
-
-    def pop(self) -> tuple[int, int]:
-        """The least rank that waits and its leftmost position."""
-        high, low = self.high, self.low
-        word = (high & -high).bit_length() - 1
-        bits = low[word]
-        rank = (word << WORD_BITS) + (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        if len(bucket) > 1:
-            if rank not in self.sorted:
-                self.sorted.add(rank)
-                if self.kind is list:
-                    bucket.sort()
-                else:
-                    np.frombuffer(bucket, np.int32).sort()
+        self.sorted: set[int] = set()  # ranks whose bucket is in order
+
+    @staticmethod
+    def sort(bucket: list | array) -> None:
+        if isinstance(bucket, list):
+            bucket.sort()
         else:
-            if self.sorted:
-                self.sorted.discard(rank)
-            low[word] = bits = bits & (bits - 1)
-            if not bits:
-                self.high = high & (high - 1)
-        return rank, ~bucket.pop()
+            np.frombuffer(bucket, np.int32).sort()
 
 
 class Codec(dict):
@@ -111,38 +85,66 @@ class Codec(dict):
         self.flat = np.frombuffer(b"".join(strings), np.uint8)
         self.sizes = np.array([len(s) for s in strings], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
+        self.pairs = [self.ranks.get(bytes(divmod(i, 256)), NONE) for i in range(1 << 16)]
         self.short, self.long = RankQueue(len(strings)), RankQueue(len(strings), packed_integers)
 
     def merge(self, word: bytes) -> array:
         """Ids of one match, by merges alone."""
-        n, rank_of = len(word), self.ranks.get
+        n, rank_of, pair_rank = len(word), self.ranks.get, self.pairs
         queue, packed = (self.short, list) if n <= LONG_MATCH else (self.long, packed_integers)
-        push, pop = queue.push, queue.pop
-        waiting = packed(rank_of(word[i : i + 2], NONE) for i in range(n))
-        waiting[n - 1] = NONE
+        buckets, low, ordered, high = queue.buckets, queue.low, queue.sorted, 0
+        waiting = packed([pair_rank[a << 8 | b] for a, b in zip(word, word[1:])])
+        waiting.append(NONE)
         for i, rank in enumerate(waiting):
             if rank >= 0:
-                push(rank, i)
+                bucket = buckets[rank]
+                if not bucket:
+                    low[rank >> WORD_BITS] |= BIT[rank & WORD_MASK]
+                    high |= 1 << (rank >> WORD_BITS)
+                bucket.append(~i)
         after, before = packed(range(1, n + 1)), packed(range(-1, n - 1))
-        while queue.high:
-            rank, i = pop()
+        while high:
+            # the first rank that waits: find-first-set in the upper word, then in a lower one
+            at = (high & -high).bit_length() - 1
+            bits = low[at]
+            rank = (at << WORD_BITS) + (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                if rank not in ordered:
+                    ordered.add(rank)
+                    queue.sort(bucket)
+            else:
+                if ordered:
+                    ordered.discard(rank)
+                low[at] = bits = bits & (bits - 1)
+                if not bits:
+                    high &= high - 1
+            i = ~bucket.pop()
             if waiting[i] != rank:
                 continue  # stale: one of the two was merged meanwhile
             gone = after[i]
             waiting[gone] = NONE
             after[i] = k = after[gone]
+            made = NONE
             if k < n:
                 before[k] = i
-                waiting[i] = made = rank_of(word[i : after[k]], NONE)
+                made = rank_of(word[i : after[k]], NONE)
                 if made >= 0:
-                    push(made, i)
-            else:
-                waiting[i] = NONE
+                    bucket = buckets[made]
+                    if not bucket:
+                        low[made >> WORD_BITS] |= BIT[made & WORD_MASK]
+                        high |= 1 << (made >> WORD_BITS)
+                    bucket.append(~i)
+            waiting[i] = made
             h = before[i]
             if h >= 0:
                 waiting[h] = made = rank_of(word[h:k], NONE)
                 if made >= 0:
-                    push(made, h)
+                    bucket = buckets[made]
+                    if not bucket:
+                        low[made >> WORD_BITS] |= BIT[made & WORD_MASK]
+                        high |= 1 << (made >> WORD_BITS)
+                    bucket.append(~h)
         ids, i, ranks = array("I"), 0, self.ranks
         while i < n:
             ids.append(ranks[word[i : after[i]]])
