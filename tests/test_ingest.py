@@ -142,3 +142,30 @@ def test_small_documents(spark, tmp_path):
     assert sorted((r["template_family"], r["split"]) for r in units.collect()) == [("a", "dev"), ("b", "dev"), ("c", "validation"), ("d", "test")]
     with pytest.raises(ValueError):
         dims.units_of(units, "holdout")
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 1000])
+def test_byte_ranges_read_what_whole_files_hold(spark, root, size):
+    from tracegauge.sources import release_files as S
+
+    pick = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    whole = S.read_files(spark, root, R.ARCHITECTURES)
+    assert whole.rdd.getNumPartitions() == 1
+    cut = S.read_files(spark, root, R.ARCHITECTURES, size)
+    assert pick(cut) == pick(whole)
+    assert {r.kind for r in whole.collect()} == {"interaction", "call", "goal", "truth"}
+
+
+def test_sections_that_only_look_like_headings_stay_text(spark, tmp_path):
+    from tracegauge.sources import release_files as S
+
+    at = f"{R.ARCHITECTURES[0]}/v/m/dev"
+    text = "### Environment Interaction 1\r\n```\na ### Environment Interaction 2\n### Environment Interaction x\n```\n### Environment Interaction 2 \n```\n" + "b" * 50 + "\n```"
+    rows = [(f"{at}/tasks/t_1/logs/environment_io.md", text), (f"{at}/tasks/t_2/logs/environment_io.md", ""), (f"{at}/evaluations/dev.json", '{"individual": {}}'), (f"{at}/evaluations/other.json", "broken"), (f"{at}/tasks/t_1/logs/notes.md", "x")]
+    S.write_files(spark.createDataFrame(rows, "path string, text string"), f"file://{tmp_path}/r")
+    for size in (5, 40, 1 << 20):
+        files = S.read_files(spark, f"{tmp_path}/r", R.ARCHITECTURES, size)
+        got = R.scan_interactions(files).collect()
+        assert [(r.task_id, [(x.code, x.output) for x in r.interactions]) for r in got] == [("t_1", [("a ### Environment Interaction 2\n### Environment Interaction x", ""), ("b" * 50, "")])]
+    assert R.source_rows(spark, f"{tmp_path}/r").count() == 1  # evaluated, though no task was
+    assert S.read_files(spark, f"{tmp_path}/nowhere", R.ARCHITECTURES).count() == 0

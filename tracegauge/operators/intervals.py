@@ -1,6 +1,6 @@
 """Bootstrap intervals as one job over (arm, replicate).
 
-Weights depend only on the seed, the replicate and the row, so two arms that share rows
+Draws depend only on the seed, the replicate and what is drawn from, so two arms of a pair
 share every resample, and a lost task redraws the same numbers.
 """
 
@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import folded
 from .ranking import metric_by_name
 from .running import integer_cells, running_totals, score_cells
 
@@ -63,41 +64,10 @@ def exact_weights(
     )
 
 
-def poisson_weight(seed: int, row: Column) -> Column:
-    """Poisson(1) by inversion of a hashed uniform; needs no row count or row number."""
-    u = F.pmod(F.xxhash64(F.lit(seed), "replicate", row), F.lit(1 << 52)).cast("double") / float(1 << 52)
-    out, term, total = F.lit(0), 2.718281828459045**-1, 2.718281828459045**-1
-    for k in range(1, 19):
-        out = out + F.when(u >= F.lit(total), 1).otherwise(0)
-        term /= k
-        total += term
-    return out
-
-
-def resampled_groups(
-    rows: DataFrame,
-    keys: Sequence[str],
-    arms: Sequence[str],
-    tie: str,
-    resamples: int,
-    seed: int,
-    mode: str,
-    portable: bool,
-) -> DataFrame:
-    """(keys, chunk, replicate, arm, score) with resampled row and positive counts."""
+def resampled_groups(rows: DataFrame, keys: Sequence[str], arms: Sequence[str], tie: str, resamples: int, seed: int, portable: bool) -> DataFrame:
+    """(keys, chunk, replicate, arm, score) with resampled row and positive counts, drawn row by row."""
     values = ["y", *arms]
-    if mode == "exact":
-        indexed = numbered(rows.select(*keys, *values, tie), keys, tie)
-        weighted = exact_weights(indexed, keys, values, resamples, seed, portable)
-    elif mode == "poisson":
-        weighted = (
-            rows.select(*keys, *values, tie)
-            .withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-            .withColumns({"chunk": F.lit(0), "w": poisson_weight(seed, F.col(tie))})
-            .where("w > 0")
-        )
-    else:
-        raise ValueError(f"unknown resampling mode {mode!r}")
+    weighted = exact_weights(numbered(rows.select(*keys, *values, tie), keys, tie), keys, values, resamples, seed, portable)
     sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(a).alias("score")) for i, a in enumerate(arms)])).alias("s")
     return (
         weighted.select(*keys, "chunk", "replicate", "y", "w", sides)
@@ -115,19 +85,23 @@ def replicate_values(
     seed: int,
     tie: str = "ord",
     budget: float = 0.05,
-    mode: str = "exact",
+    mode: str = "folded",
     portable: bool = False,
 ) -> DataFrame:
     """Metric values per (keys, arm, replicate); one-class resamples give no row.
 
-    In exact mode an arm is small enough to draw with replacement, so one window per
-    (arm, replicate) suffices; Poisson mode is for large arms and cuts each replicate
-    into bounded cells like any other ranking.
+    Folded mode draws per group of equal scores and cuts both the draw and the ranking
+    into cells; Poisson mode does the same with an independent count for each group, so
+    replicates differ in size. Exact mode draws row by row, with one window per (arm,
+    replicate): with ``portable`` hashes, which imply it, any SQL engine can repeat it.
     """
-    groups = resampled_groups(rows, keys, arms, tie, resamples, seed, mode, portable)
+    if mode not in ("folded", "poisson", "exact"):
+        raise ValueError(f"unknown resampling mode {mode!r}")
+    if mode != "exact" and not portable:
+        return folded.replicate_values(rows, keys, arms, metrics, resamples, seed, budget, mode == "poisson")
+    groups = resampled_groups(rows, keys, arms, tie, resamples, seed, portable)
     by = [*keys, "chunk", "replicate", "side"]
-    cells = [] if mode == "exact" else score_cells()
-    ranked = running_totals(groups, by, ["score"], ["n", "pos"], cells, descending=True)
+    ranked = running_totals(groups, by, ["score"], ["n", "pos"], [], descending=True)
     values = ranked.groupBy(*by).agg(
         F.sum("n").alias("_n"),
         F.sum("pos").alias("_pos"),
@@ -168,7 +142,7 @@ def bootstrap_interval(
     seed: int = 0,
     tie: str = "ord",
     budget: float = 0.05,
-    mode: str = "exact",
+    mode: str = "folded",
     portable: bool = False,
 ) -> DataFrame:
     """Point, lower and upper of each metric for every arm at once."""
@@ -195,7 +169,7 @@ def paired_bootstrap(
     seed: int = 20_260_919,
     tie: str = "ord",
     budget: float = 0.05,
-    mode: str = "exact",
+    mode: str = "folded",
     portable: bool = False,
 ) -> DataFrame:
     """Interval of the difference of two arms under the same resamples."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scoring", "lanes", "decisions", "traces", "models", "live", "reports", "small")
+MODULES = ("scoring", "lanes", "decisions", "traces", "ingest", "models", "live", "reports", "small")
 
 
 def load():

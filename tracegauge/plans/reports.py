@@ -130,17 +130,26 @@ def provenance(spark, sf):
 # -- figures --------------------------------------------------------------------------------
 
 
-@query("j16_f39_headline_figure", with_views(SCORED, ", base AS (SELECT provider, ord, y, score FROM scored)" + _boot_sql("score", "provider") + f""", i AS (SELECT provider, quantile_cont(auprc, 0.025) AS lo, quantile_cont(auprc, 0.975) AS hi FROM vals GROUP BY provider),
-g2 AS (SELECT provider, score, count(*) AS n, sum(y) AS pos FROM scored GROUP BY ALL), r2 AS (SELECT *, sum(n) OVER w - n AS before_n, sum(pos) OVER w - pos AS before_pos, sum(n) OVER (PARTITION BY provider) AS total_n, sum(pos) OVER (PARTITION BY provider) AS total_pos FROM g2 WINDOW w AS (PARTITION BY provider ORDER BY score DESC)),
-m AS (SELECT provider, {AP} AS y, max(total_n) AS n FROM r2 GROUP BY provider)
-SELECT 'auprc' AS figure, m.provider AS series, CAST(list_position(['rules', 'linear', 'boosted', 'typed', 'general'], m.provider) - 1 AS STRING) AS x, round(y, 6) AS y, round(lo, 6) AS lower, round(hi, 6) AS upper, printf('%.3f', y) AS shown, CAST(CAST(n AS BIGINT) AS STRING) AS n FROM m JOIN i ON m.provider = i.provider"""))
-def headline(spark, sf):
+def headline_rows(spark, sf):
     rows = scored(spark, sf)
     metrics = R.ranking_metrics(R.ranked_groups(R.score_groups(rows, ARM), ARM), ARM)
-    spread = I.bootstrap_interval(rows, ARM, metrics=("auprc",), resamples=B, seed=SEED, portable=True)
+    spread = I.bootstrap_interval(rows, ARM, metrics=("auprc",), resamples=B, seed=SEED)
     return P.figure_table("auprc", P.figure_points(metrics, spread, "auprc", PROVIDERS), "provider", "ord", extras=("n",))
 
 
+@query("j16_f39_headline_figure")
+def headline(spark, sf):
+    return headline_rows(spark, sf)
+
+
+@query("j16_f39_figure_points", with_views(RANKED, f""", m AS (SELECT provider, {AP} AS y, max(total_n) AS n FROM ranked GROUP BY provider)
+SELECT 'auprc' AS figure, provider AS series, CAST(list_position(['rules', 'linear', 'boosted', 'typed', 'general'], provider) - 1 AS STRING) AS x, round(y, 6) AS y, true AS covered, printf('%.3f', y) AS shown, CAST(CAST(n AS BIGINT) AS STRING) AS n FROM m"""))
+def figure_points(spark, sf):
+    """The figure with its interval as a yes or no: whether it holds the point."""
+    rows = headline_rows(spark, sf)
+    return rows.withColumn("covered", (F.col("lower") <= F.col("y")) & (F.col("y") <= F.col("upper"))).select("figure", "series", "x", "y", "covered", "shown", "n")
+
+
 @query("f38_format_value", with_views(RANKED, f"SELECT provider, printf('%.3f', {AP}) AS shown FROM ranked GROUP BY provider"))
 def formatted(spark, sf):
     rows = ranked(spark, sf).groupBy("provider").agg(R.auprc_of().alias("auprc"))

@@ -63,6 +63,14 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def settled_folder(rows: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``settle``, with the folder, for a caller that knows when the table is done with."""
+    spark = rows.sparkSession
+    folder = work_folder(spark, name)
+    rows.write.mode("errorifexists").parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder), folder
+
+
 def settle(rows: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table to the shared folder once and read it back.
 
@@ -70,7 +78,10 @@ def settle(rows: DataFrame, name: str) -> DataFrame:
     lineage above it is cut, its size is known to the optimizer, and a lost executor
     rereads files instead of rerunning the branches.
     """
-    spark = rows.sparkSession
-    folder = work_folder(spark, name)
-    rows.write.mode("errorifexists").parquet(folder)
-    return spark.read.schema(rows.schema).parquet(folder)
+    return settled_folder(rows, name)[0]
+
+
+def forget(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that ``settled_folder`` made, in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

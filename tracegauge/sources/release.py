@@ -1,8 +1,8 @@
 """Reading a nested release of trajectories into one table of traces.
 
 Layout: ``<root>/<architecture>/<vendor>/<model>/<split>/`` with
-``evaluations/<split>.json`` and ``tasks/<task>/{logs,dbs}/...``. Keys come from the
-file path, so each kind of file is one distributed scan and the kinds meet in joins.
+``evaluations/<split>.json`` and ``tasks/<task>/{logs,dbs}/...``. One scan lists the tree and
+reads byte ranges of all files as typed records; the kinds meet in joins.
 """
 
 from __future__ import annotations
@@ -15,75 +15,56 @@ from ..functions import labels as L
 from ..functions.text import scenario_of, strip, trace_id_of
 from ..operators.sets import allow_list
 from ..schemas import beside
+from ..session import work_folder
+from . import release_files
 
 # Directory names, section marks and call shapes of a release.
 ARCHITECTURES = ("legacy_full_code_agent", "legacy_function_calling_agent")
 INFRASTRUCTURE_APPS = ("supervisor", "admin", "api_docs")
 DEFAULT_DOMAIN = "supervisor"
-SECTION = r"(?md)^### Environment Interaction \d+\s*$"
 FENCE = r"(?s)```(?:python)?\n(.*?)```"
 COMPLETE_TASK = r"complete_task\(([^\n]*)"
 STATUS = r"""(?U)['"]?status['"]?\s*[=:]\s*['"](\w+)['"]"""
 API_CALL = r"apis\.([a-z_]+)\.([a-z_0-9]+)"
 TASK_INSERT = r"INSERT INTO tasks \(([^)]*)\)"
 
-KEYS = ["architecture", "vendor", "model_family", "benchmark_split", "task_id"]
+KEYS = list(release_files.KEYS)
 SPLIT_KEYS = KEYS[:4]
 
 
-def files(spark: SparkSession, root: str, name: str, architectures: Sequence[str]) -> DataFrame:
-    """(path parts, text) of every file with a name, one row per file."""
-    raw = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", name)
-        .text([f"{root}/{a}" for a in architectures], wholetext=True)
-    )
-    return raw.select(F.split(F.col("_metadata.file_path"), "/").alias("p"), F.col("value").alias("text"))
-
+def scan(spark: SparkSession, root: str, architectures: Sequence[str]) -> DataFrame:
+    """(kind, keys, place, text) of every record of a release, read once and kept apart by kind."""
+    folder = work_folder(spark, "release")
+    rows = release_files.read_files(spark, root, list(architectures))
+    rows.write.partitionBy("kind").parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
 
-def with_keys(rows: DataFrame, names: Sequence[str], depth: int) -> DataFrame:
-    """Key columns from the path: the part ``depth`` places from the end is the first key."""
-    parts = [F.try_element_at("p", F.lit(-(depth - i))).alias(n) for i, n in enumerate(names)]
-    return rows.select(*parts, "text")
 
-
-def task_files(spark: SparkSession, root: str, name: str, architectures: Sequence[str]) -> DataFrame:
-    rows = files(spark, root, name, architectures)
-    # .../<arch>/<vendor>/<model>/<split>/tasks/<task>/<folder>/<file>
-    at = lambda k: F.try_element_at("p", F.lit(-k))
-    return rows.select(
-        at(8).alias("architecture"),
-        at(7).alias("vendor"),
-        at(6).alias("model_family"),
-        at(5).alias("benchmark_split"),
-        at(3).alias("task_id"),
-        "text",
-    )
+def of_kind(files: DataFrame, kind: str) -> DataFrame:
+    return files.where(F.col("kind") == kind).drop("kind")
 
 
-def interactions_of(text: Column) -> Column:
-    """ARRAY<STRUCT<code, output>> from a log in sections of fenced blocks."""
-    chunks = F.split(text, SECTION)
-    chunks = F.slice(chunks, F.lit(2), F.greatest(F.size(chunks) - 1, F.lit(0)))
+def fenced(chunk: Column, i: int) -> Column:
+    """The i-th fenced block of a section, trimmed; empty where there is none."""
+    return F.coalesce(strip(F.try_element_at(F.regexp_extract_all(chunk, F.lit(FENCE), F.lit(1)), F.lit(i))), F.lit(""))
 
-    def pair(chunk: Column) -> Column:
-        blocks = F.regexp_extract_all(chunk, F.lit(FENCE), F.lit(1))
-        block = lambda i: F.coalesce(strip(F.try_element_at(blocks, F.lit(i))), F.lit(""))
-        return F.struct(block(1).alias("code"), block(2).alias("output"))
 
-    return F.filter(F.transform(chunks, pair), lambda x: (x["code"] != "") | (x["output"] != ""))
+def sections(files: DataFrame) -> DataFrame:
+    """(keys, place, code, output) of each section that holds either."""
+    rows = of_kind(files, "interaction").withColumns({"code": fenced(F.col("text"), 1), "output": fenced(F.col("text"), 2)})
+    return rows.drop("text").where((F.col("code") != "") | (F.col("output") != ""))
 
 
-def scan_interactions(spark: SparkSession, root: str, architectures: Sequence[str]) -> DataFrame:
-    rows = task_files(spark, root, "environment_io.md", architectures)
-    return rows.select(*KEYS, interactions_of(F.col("text")).alias("interactions")).where(F.size("interactions") > 0)
+def scan_interactions(files: DataFrame) -> DataFrame:
+    """(keys, interactions): the sections of a trajectory in order."""
+    entry = F.array_sort(F.collect_list(F.struct("place", "code", "output")))
+    rows = sections(files).groupBy(*KEYS).agg(entry.alias("s"))
+    return rows.select(*KEYS, F.transform("s", lambda x: F.struct(x["code"].alias("code"), x["output"].alias("output"))).alias("interactions"))
 
 
-def scan_api_calls(spark: SparkSession, root: str, architectures: Sequence[str]) -> DataFrame:
+def scan_api_calls(files: DataFrame) -> DataFrame:
     """One row per call; lines that are not JSON objects are dropped."""
-    rows = task_files(spark, root, "api_calls.jsonl", architectures)
-    lines = rows.select(*KEYS, F.explode(F.split("text", "\n")).alias("line")).where(strip(F.col("line")) != "")
-    parsed = lines.withColumn("v", F.try_parse_json("line"))
+    parsed = of_kind(files, "call").where(strip(F.col("text")) != "").withColumn("v", F.try_parse_json("text"))
     return parsed.where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT"))).select(
         *KEYS, F.coalesce(F.try_variant_get("v", "$.url", "string"), F.lit("")).alias("url")
     )
@@ -101,33 +82,19 @@ def goal_of_line(line: Column) -> Column:
     return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
-def scan_goals(spark: SparkSession, root: str, architectures: Sequence[str]) -> DataFrame:
-    rows = task_files(spark, root, "supervisor.jsonl", architectures)
-    lines = rows.select(*KEYS, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    found = lines.where(F.contains("line", F.lit("INSERT INTO tasks"))).withColumn("goal", goal_of_line(F.col("line")))
-    return found.where(F.col("goal").isNotNull()).groupBy(*KEYS).agg(F.min_by("goal", "line_no").alias("goal"))
-
+def scan_goals(files: DataFrame) -> DataFrame:
+    """(keys, goal): the first insert line of a task that names an instruction."""
+    found = of_kind(files, "goal").withColumn("goal", goal_of_line(F.col("text")))
+    return found.where(F.col("goal").isNotNull()).groupBy(*KEYS).agg(F.min_by("goal", "place").alias("goal"))
 
-TRUTH_SHAPE = "struct<individual:map<string,struct<success:boolean,difficulty:int,num_tests:int,failures:array<variant>>>>"
 
-
-def scan_evaluations(spark: SparkSession, root: str, architectures: Sequence[str]) -> DataFrame:
-    """(split keys, individual) from each split's own evaluation file."""
-    rows = files(spark, root, "*.json", architectures)
-    at = lambda k: F.try_element_at("p", F.lit(-k))
-    own = rows.where((at(2) == "evaluations") & (at(1) == F.concat(at(3), F.lit(".json"))))
-    return own.select(
-        at(6).alias("architecture"),
-        at(5).alias("vendor"),
-        at(4).alias("model_family"),
-        at(3).alias("benchmark_split"),
-        F.from_json("text", TRUTH_SHAPE).alias("doc"),
-    )
+TRUTH_SHAPE = "struct<success:boolean,difficulty:int,num_tests:int,failures:array<variant>>"
 
 
-def ground_truth(evaluations: DataFrame) -> DataFrame:
-    each = evaluations.select(*SPLIT_KEYS, F.explode("doc.individual").alias("task_id", "t"))
-    return each.select(
+def ground_truth(files: DataFrame) -> DataFrame:
+    """(keys, outcome) of each task of each split's own evaluation file."""
+    rows = of_kind(files, "truth").where("task_id is not null").withColumn("t", F.from_json("text", TRUTH_SHAPE))
+    return rows.select(
         *KEYS,
         F.col("t.success").alias("ground_truth_success"),
         "t.difficulty",
@@ -201,24 +168,27 @@ def build_events(interactions: Column) -> Column:
     return F.concat(F.flatten(pairs), F.array(closing))
 
 
+def present_architectures(spark: SparkSession, root: str, architectures: Sequence[str]) -> list[str]:
+    """Folders of the release that are on the list; the others are named when none is."""
+    found = spark.createDataFrame([(n,) for n in release_files.children(root)], "architecture string")
+    return sorted(r[0] for r in allow_list(found, "architecture", architectures).select("architecture").collect())
+
+
 def source_rows(spark: SparkSession, root: str, architectures: Sequence[str] = ARCHITECTURES) -> DataFrame:
     """One row per trajectory that has interactions and whose split was evaluated."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(
-        F.split(F.regexp_replace(F.col("path"), "^.*?" + root.rstrip("/").split("/")[-1] + "/", ""), "/")[0].alias("architecture")
-    )
-    present = sorted(
-        r[0] for r in allow_list(found.distinct(), "architecture", architectures).select("architecture").distinct().collect()
-    )
-    inter = scan_interactions(spark, root, present)
-    evals = scan_evaluations(spark, root, present)
-    calls = scan_api_calls(spark, root, present).withColumn("app", app_of_url(F.col("url")))
-    truth = ground_truth(evals)
+    return assembled(scan(spark, root, present_architectures(spark, root, architectures)))
+
+
+def assembled(files: DataFrame) -> DataFrame:
+    """The kinds of a scan joined per trajectory; what is missing stays null or zero."""
+    inter, evaluated = scan_interactions(files), of_kind(files, "truth").select(*SPLIT_KEYS).distinct()
+    calls = scan_api_calls(files).withColumn("app", app_of_url(F.col("url")))
     from_code = inter.select(*KEYS, F.explode(code_calls(F.col("interactions"), 1)).alias("app"))
     n_calls = calls.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_api_calls"))
     return (
-        inter.join(evals.select(*SPLIT_KEYS).distinct(), SPLIT_KEYS, "left_semi")
-        .join(truth, KEYS, "left")
-        .join(scan_goals(spark, root, present), KEYS, "left")
+        inter.join(evaluated, SPLIT_KEYS, "left_semi")
+        .join(ground_truth(files), KEYS, "left")
+        .join(scan_goals(files), KEYS, "left")
         .join(most_called(calls, KEYS).withColumnRenamed("app", "url_app"), KEYS, "left")
         .join(most_called(from_code, KEYS).withColumnRenamed("app", "code_app"), KEYS, "left")
         .join(n_calls, KEYS, "left")
