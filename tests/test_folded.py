@@ -48,7 +48,7 @@ def test_metrics_equal_a_plain_walk_over_the_same_draws(spark, pairs, monkeypatc
     monkeypatch.setattr(D, "CELL", 16)
     monkeypatch.setattr(D, "PART", 3)
     monkeypatch.setattr(D, "CHUNK", 5)
-    packed = D.packed_cells(D.group_cells(pairs, ["provider"], ARMS), ["provider"], ARMS)
+    packed = D.packed_cells(D.folded_groups(pairs, ["provider"], ARMS), ["provider"], ARMS)
     cells = packed.collect()
     assert len(cells) > 3
     drawn = {r: [] for r in range(12)}
@@ -56,10 +56,10 @@ def test_metrics_equal_a_plain_walk_over_the_same_draws(spark, pairs, monkeypatc
         n = np.array([g.n for g in c.groups])
         upto = np.concatenate([[0], np.cumsum([s["size"] for s in c.sizes])])
         for chunk in range(3):
-            draws = D.way_to(c.cell, upto, np.full(5, upto[-1]), 3, chunk)
+            draws = D.way_to([s["cell"] for s in c.sizes].index(c.cell), upto, np.full(5, upto[-1]), 3, chunk)
             for i, w in enumerate(D.cell_draws(n, draws, 3, chunk, c.cell)):
                 if chunk * 5 + i < 12:
-                    drawn[chunk * 5 + i] += [(g.place_score_a, g.place_score_b, g.y, k) for g, k in zip(c.groups, w)]
+                    drawn[chunk * 5 + i] += [(g.score_a, g.score_b, g.y, k) for g, k in zip(c.groups, w)]
     got = values_of(D.replicate_values(pairs, ["provider"], ARMS, METRICS, 12, 3, 0.1))
     assert len(got) == 24
     for r, own in drawn.items():
@@ -67,8 +67,8 @@ def test_metrics_equal_a_plain_walk_over_the_same_draws(spark, pairs, monkeypatc
         assert w.sum() == 90
         if r == 11 or r == 10:
             continue  # the last chunk draws for fewer replicates at once, so its numbers differ
-        assert got["score_a", r] == pytest.approx(plain(-a, y, w, 0.1), abs=1e-9)
-        assert got["score_b", r] == pytest.approx(plain(-b, y, w, 0.1), abs=1e-9)
+        assert got["score_a", r] == pytest.approx(plain(a, y, w, 0.1), abs=1e-9)
+        assert got["score_b", r] == pytest.approx(plain(b, y, w, 0.1), abs=1e-9)
 
 
 def test_draws_do_not_depend_on_partitions_or_rank_parts(pairs, monkeypatch):
@@ -106,7 +106,7 @@ def test_interval_ends_agree_with_exact_draws(pairs, monkeypatch, cell):
 
 def test_hot_ties_fold(spark):
     rows = spark.range(20_000).select(F.lit("k").alias("provider"), F.col("id").alias("ord"), (F.col("id") % 3 == 0).cast("int").alias("y"), F.when(F.col("id") % 3 < 2, 0.5).otherwise(0.25).alias("score"))
-    assert D.group_cells(rows, ["provider"], ["score"]).count() == 3
+    assert D.folded_groups(rows, ["provider"], ["score"]).count() == 3
     got = I.bootstrap_interval(rows, ["provider"], resamples=300, seed=1).collect()
     assert {r.metric for r in got} == {"auprc", "auroc"} and all(r.lower < r.point < r.upper for r in got)
 

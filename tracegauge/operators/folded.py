@@ -7,8 +7,7 @@ finishes it. The generator of a node is seeded by (seed, chunk of replicates, no
 passes a node draws the same numbers there, and no task needs more than the way to its
 own cell. The cost is groups x replicates, whatever the number of rows.
 
-Only the rank of a score matters from there on. Each cell sends its draws to cells of the
-rank order of each arm; a second small table has what was drawn before each of those, and each
+Each cell sends its draws to parts of the rank order of each arm; a second small table has what was drawn before each of those, and each
 adds its part of every metric. Both arms of a pair share each draw. No arm, and no replicate of
 one, meets in one task.
 """
@@ -22,39 +21,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import settle
-from .running import integer_cells, running_totals, score_cells
 
 CELL, PART = 4096, 4096
 CHUNK = 256
 PARTS = {"auprc": "area", "auroc": "lost", "recall_at_budget": "caught"}
 
 
-def ranked_levels(rows: DataFrame, keys: Sequence[str], arm: str) -> DataFrame:
-    """(keys, arm, place): distinct scores of an arm, the best one at place 0."""
-    levels = rows.groupBy(*keys, F.col(arm).alias("score")).agg(F.lit(1).cast("bigint").alias("one"))
-    placed = running_totals(levels, keys, ["score"], ["one"], score_cells(), descending=True)
-    return placed.select(*keys, F.col("score").alias(arm), F.col("before_one").alias(f"place_{arm}"))
+def folded_groups(rows: DataFrame, keys: Sequence[str], arms: Sequence[str]) -> DataFrame:
+    """(keys, y, arms, n): one row per distinct scores and outcome."""
+    return settle(rows.groupBy(*keys, "y", *arms).agg(F.count(F.lit(1)).alias("n")), "groups")
 
 
-def group_cells(rows: DataFrame, keys: Sequence[str], arms: Sequence[str]) -> DataFrame:
-    """(keys, cell, y, n, place of each arm): one row per distinct (scores, y), dealt into cells by its digest."""
-    groups = settle(rows.groupBy(*keys, "y", *arms).agg(F.count(F.lit(1)).alias("n")), "groups")
-    own = groups.withColumns({"digest": F.xxhash64("y", *arms), "one": F.lit(1).cast("bigint")})
-    cells = running_totals(own, keys, ["digest"], ["one"], [F.shiftright("digest", 44), *integer_cells("digest")[1:]])
-    cells = cells.withColumn("cell", F.floor(F.col("before_one") / CELL)).select(*keys, "cell", "y", "n", *arms)
-    for arm in arms:
-        cells = cells.join(ranked_levels(groups, keys, arm), [*keys, arm])
-    return cells.drop(*arms)
+def packed_cells(groups: DataFrame, keys: Sequence[str], arms: Sequence[str]) -> DataFrame:
+    """(keys, cell, groups, sizes, edges of each arm): the groups of a cell in one row.
 
-
-def packed_cells(cells: DataFrame, keys: Sequence[str], arms: Sequence[str]) -> DataFrame:
-    """(keys, cell, groups, sizes): the groups of a cell in one row, with the number of rows of each cell of its key."""
-    places = [f"place_{a}" for a in arms]
-    entry = F.struct(F.col("y").cast("int").alias("y"), "n", *places)
-    one = cells.groupBy(*keys, "cell").agg(F.array_sort(F.collect_list(entry)).alias("groups"), F.sum("n").alias("size"))
-    one = settle(one, "cells")
-    sizes = one.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cell", "size"))).alias("sizes"))
-    return one.drop("size").join(sizes, list(keys))
+    Groups are dealt into cells by their digests. Beside each cell go the sizes of all cells
+    of its key and, per arm, scores that cut the rank order into parts; any cuts are right, so
+    approximate quantiles do. Both have one number per ``CELL`` or ``PART`` groups.
+    """
+    most = groups.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    own = groups.withColumn("cell", F.pmod(F.xxhash64("y", *arms), F.lit(1 + most // CELL)))
+    entry = F.struct(F.col("y").cast("int").alias("y"), "n", *arms)
+    packed = own.groupBy(*keys, "cell").agg(F.array_sort(F.collect_list(entry)).alias("groups"))
+    sizes = own.groupBy(*keys, "cell").agg(F.sum("n").alias("size")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cell", "size"))).alias("sizes"))
+    packed = packed.join(sizes, list(keys))
+    parts = 1 + most // PART
+    if parts == 1:
+        return packed.withColumns({f"edges_{a}": F.array().cast("array<double>") for a in arms})
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    edges = groups.groupBy(*keys).agg(*[F.array_distinct(F.percentile_approx(a, shares, F.lit(20 * parts))).alias(f"edges_{a}") for a in arms])
+    return packed.join(edges, list(keys))
 
 
 def way_to(cell: int, upto: np.ndarray, draws: np.ndarray, seed: int, chunk: int) -> np.ndarray:
@@ -75,23 +71,23 @@ def cell_draws(n: np.ndarray, draws: np.ndarray, seed: int, chunk: int, cell: in
     return rng.poisson(n, (len(draws), len(n))) if poisson else rng.multinomial(draws, n / n.sum())
 
 
-def folded_by_place(place: np.ndarray, y: np.ndarray, drawn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places in order, rows drawn, positives drawn), each (places, replicates)."""
-    order = np.argsort(place, kind="stable")
-    place, drawn, y = place[order], drawn[:, order].T, y[order]
-    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    return place[first], np.add.reduceat(drawn, first, axis=0), np.add.reduceat(drawn * y[:, None], first, axis=0)
+def folded_by_score(score: np.ndarray, y: np.ndarray, drawn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(scores, best first; rows drawn; positives drawn), the last two (scores, replicates)."""
+    order = np.argsort(-score, kind="stable")
+    score, drawn, y = score[order], drawn[:, order].T, y[order]
+    first = np.flatnonzero(np.concatenate([[True], score[1:] != score[:-1]]))
+    return score[first], np.add.reduceat(drawn, first, axis=0), np.add.reduceat(drawn * y[:, None], first, axis=0)
 
 
 def draw_rows(packed: DataFrame, keys: Sequence[str], arms: Sequence[str], resamples: int, seed: int, poisson: bool = False) -> DataFrame:
-    """(keys, chunk, side, part, places, n, pos, sum_n, sum_pos): what each cell draws for each cell of an arm's rank order."""
+    """(keys, chunk, side, part, scores, n, pos, sum_n, sum_pos): what each cell draws for each cell of an arm's rank order."""
     chunks = -(-resamples // CHUNK)
     spread = packed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    spread = spread.repartition(*[*keys, "cell", "chunk"]).select(*keys, "chunk", "cell", "groups", "sizes")
+    spread = spread.repartition(*[*keys, "cell", "chunk"]).select(*keys, "chunk", "cell", "groups", "sizes", *[f"edges_{a}" for a in arms])
     kept = list(keys)
     kinds = "".join(f"`{k}` {packed.schema[k].dataType.simpleString()}, " for k in kept)
-    schema = f"{kinds}chunk int, side int, part long, places binary, n binary, pos binary, sum_n binary, sum_pos binary"
-    names = [*kept, "chunk", "side", "part", "places", "n", "pos", "sum_n", "sum_pos"]
+    schema = f"{kinds}chunk int, side int, part long, scores binary, n binary, pos binary, sum_n binary, sum_pos binary"
+    names = [*kept, "chunk", "side", "part", "scores", "n", "pos", "sum_n", "sum_pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,15 +98,18 @@ def draw_rows(packed: DataFrame, keys: Sequence[str], arms: Sequence[str], resam
                 upto = np.concatenate([[0], np.cumsum(sizes.field("size").to_numpy())])
                 y, n = groups.field("y").to_numpy().astype(np.int64), groups.field("n").to_numpy()
                 replicates = min(CHUNK, resamples - chunk * CHUNK)
-                draws = way_to(cell, upto, np.full(replicates, upto[-1]), seed, chunk)
+                at_cell = int(np.searchsorted(sizes.field("cell").to_numpy(), cell))
+                draws = way_to(at_cell, upto, np.full(replicates, upto[-1]), seed, chunk)
                 drawn = cell_draws(n, draws, seed, chunk, cell, poisson)
                 for side, arm in enumerate(arms):
-                    place, all_, pos = folded_by_place(groups.field(f"place_{arm}").to_numpy(), y, drawn)
-                    edges = np.flatnonzero(np.concatenate([[True], place[1:] // PART != place[:-1] // PART, [True]]))
-                    for a, b in zip(edges[:-1], edges[1:]):
-                        data = [place[a:b], all_[a:b].astype(np.int32), pos[a:b].astype(np.int32), all_[a:b].sum(axis=0), pos[a:b].sum(axis=0)]
+                    score, all_, pos = folded_by_score(groups.field(arm).to_numpy(), y, drawn)
+                    edge = batch.column(at[f"edges_{arm}"])[i].values.to_numpy()
+                    part = len(edge) - np.searchsorted(edge, score)
+                    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+                    for a, b in zip(cuts[:-1], cuts[1:]):
+                        data = [score[a:b], all_[a:b].astype(np.int32), pos[a:b].astype(np.int32), all_[a:b].sum(axis=0), pos[a:b].sum(axis=0)]
                         yield pa.RecordBatch.from_arrays(
-                            [*[batch.column(at[k]).slice(i, 1) for k in kept], pa.array([chunk], pa.int32()), pa.array([side], pa.int32()), pa.array([int(place[a]) // PART]), *[pa.array([x.tobytes()], pa.binary()) for x in data]],
+                            [*[batch.column(at[k]).slice(i, 1) for k in kept], pa.array([chunk], pa.int32()), pa.array([side], pa.int32()), pa.array([int(part[a])]), *[pa.array([x.tobytes()], pa.binary()) for x in data]],
                             names=names,
                         )
 
@@ -151,8 +150,8 @@ def part_sums(drawn: DataFrame, before: DataFrame, keys: Sequence[str], budget:
 
         before_n, before_pos, total_n, total_pos = (np.frombuffer(table.column(c)[0].as_py(), np.int64) for c in ("before_n", "before_pos", "total_n", "total_pos"))
         replicates = len(before_n)
-        places, at = np.unique(np.concatenate(column("places")), return_inverse=True)
-        n, pos = np.zeros((2, len(places), replicates))
+        worst, at = np.unique(-np.concatenate(column("scores", np.float64)), return_inverse=True)
+        n, pos = np.zeros((2, len(worst), replicates))
         for out, name in ((n, "n"), (pos, "pos")):
             np.add.at(out, at, np.concatenate([x.reshape(-1, replicates) for x in column(name, np.int32)]))
         seen, hits = before_n + np.cumsum(n, axis=0), before_pos + np.cumsum(pos, axis=0)
@@ -179,7 +178,7 @@ def replicate_values(rows: DataFrame, keys: Sequence[str], arms: Sequence[str],
         raise ValueError(f"unknown metric {unknown[0]!r}; known: {sorted(PARTS)}")
     by = list(keys) or ["_all"]
     rows = rows.select(*keys, "y", *arms) if keys else rows.select(F.lit(0).alias("_all"), "y", *arms)
-    drawn = draw_rows(packed_cells(group_cells(rows, by, arms), by, arms), by, arms, resamples, seed, poisson)
+    drawn = draw_rows(packed_cells(folded_groups(rows, by, arms), by, arms), by, arms, resamples, seed, poisson)
     sums = part_sums(drawn, before_parts(drawn, by), by, budget)
     whole = sums.groupBy(*keys, "side", "replicate").agg(F.max("n").alias("_n"), F.max("pos").alias("_pos"), *[F.sum(c).alias(c) for c in PARTS.values()])
     values = {
