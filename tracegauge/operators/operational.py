@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scores import cost_usd, parse_utc
 from ..schemas import LABELS, ratio, ratio0
+from .quantiles import quantiles
 
 # The quantiles of every latency panel.
 QUANTILES = (0.50, 0.95, 0.99)
@@ -25,24 +26,26 @@ def is_parse_failure() -> Column:
     return F.contains(F.col("error"), F.lit("ParseFailure"))
 
 
-def quantiles(column: str, approximate: bool) -> list[Column]:
-    if approximate:
-        return [F.percentile_approx(column, q, 10_000) for q in QUANTILES]
-    return [F.percentile(column, q) for q in QUANTILES]
+QUANTILE_NAMES = ("p50_ms", "p95_ms", "p99_ms")
+
+
+def with_quantiles(rows: DataFrame, keys: Sequence[str], approximate: bool) -> DataFrame:
+    """Quantiles of ``latency_ms`` with its ``total`` and ``sum``: exact ones by rank cells, approximate ones by a bounded sketch."""
+    if not approximate:
+        return quantiles(rows, keys, "latency_ms", QUANTILES, QUANTILE_NAMES)
+    named = [F.percentile_approx("latency_ms", q, 10_000).alias(n) for q, n in zip(QUANTILES, QUANTILE_NAMES, strict=True)]
+    return rows.groupBy(*keys).agg(*named, F.count("latency_ms").alias("total"), F.sum("latency_ms").alias("sum"))
 
 
 def latency_summary(predictions: DataFrame, keys: Sequence[str], approximate: bool = False) -> DataFrame:
-    """Positive latencies only. Exact quantiles fold equal values; ``approximate`` uses a
-    bounded sketch where an arm has more distinct latencies than one task should hold."""
-    p50, p95, p99 = quantiles("latency_ms", approximate)
-    total = F.sum("latency_ms") / 1e3
-    return predictions.where("latency_ms > 0").groupBy(*keys).agg(
-        p50.alias("p50_ms"),
-        p95.alias("p95_ms"),
-        p99.alias("p99_ms"),
-        F.avg("latency_ms").alias("mean_ms"),
-        total.alias("total_s"),
-        F.try_divide(F.count(F.lit(1)).cast("double"), total).alias("throughput_per_s"),
+    """Positive latencies only."""
+    rows = with_quantiles(predictions.where("latency_ms > 0"), keys, approximate)
+    return rows.select(
+        *keys,
+        *QUANTILE_NAMES,
+        (F.col("sum") / F.col("total")).alias("mean_ms"),
+        (F.col("sum") / 1e3).alias("total_s"),
+        F.try_divide(F.col("total").cast("double"), F.col("sum") / 1e3).alias("throughput_per_s"),
     )
 
 
@@ -170,14 +173,8 @@ def cost_block(priced: DataFrame, runs: DataFrame, fx_rate: float) -> DataFrame:
 
 def speed_by_arm(predictions: DataFrame, runs: DataFrame, approximate: bool = False) -> DataFrame:
     """Per run: latency quantiles with zeros included; throughput of complete runs only."""
-    p50, p95, p99 = quantiles("latency_ms", approximate)
-    per_run = predictions.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        p50.alias("p50_ms"),
-        p95.alias("p95_ms"),
-        p99.alias("p99_ms"),
-        F.avg("latency_ms").alias("mean_ms"),
-    )
+    counts = predictions.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+    per_run = counts.join(with_quantiles(predictions, ["run_id"], approximate), "run_id", "left").withColumn("mean_ms", F.col("sum") / F.col("total"))
     seconds = (
         parse_utc(F.col("updated_utc")).cast("double") - parse_utc(F.col("created_utc")).cast("double")
     )
