@@ -56,3 +56,13 @@ def test_null_texts_and_langs(spark, docs_table):
     assert [g[0] for g in got] == [0, 1, 2, 2, 3, 4, 5] and [g[1] for g in got if g[0] > 2] == ["und"] * 3
     assert langid.train(docs, F.lit(False)) is None and {r.lang_pred for r in langid.predict(docs, None).collect()} == {"und"}
     assert langid.predict(docs.limit(0), net).count() == 0
+
+
+def test_no_language_is_crowded_out(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 5)
+    hot = [(i, f"wort nummer {i} und mehr", "de") for i in range(3000)]
+    rare = [(10_000 + k, f"some words {k}", f"x{k:02d}") for k in range(30)]
+    docs = spark.createDataFrame(hot + rare, "doc_id long, text string, lang string").repartition(4)
+    counts = {r.lang: r["count"] for r in langid.sample(docs, F.lit(True), "doc_id", "text", "lang").groupBy("lang").count().collect()}
+    assert counts == {"de": 5} | {f"x{k:02d}": 1 for k in range(30)}
+    assert len(langid.train(docs, F.lit(True)).labels) == 31

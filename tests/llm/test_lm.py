@@ -71,3 +71,10 @@ def test_null_empty_repeated_and_untaught_rows(spark, docs_table, monkeypatch):
     none = lm.score(docs_table(rows), F.lit(False)).collect()
     assert {r.base_score for r in none} == {0.0} and {r.score for r in none} == {0.0} and {r.train_tokens for r in none} == {0}
     assert lm.score(docs_table(rows).limit(0), teaches).count() == 0
+
+
+def test_warm_start_reaches_the_end_of_long_texts():
+    assert lm.spread_places(7).tolist() == list(range(7))
+    places = lm.spread_places(100_000)
+    assert len(set(places.tolist())) == lm.WARM_TOKENS and places[0] == 0 and places[-1] == 99_999
+    assert np.diff(places).max() - np.diff(places).min() <= 1

@@ -3,8 +3,8 @@
 The network reads windows of ``STEPS`` bytes in both directions, labels every position,
 and a document's probabilities are the mean over all of its positions. It is trained in
 numpy by backpropagation through time on a bounded sample: at most ``SAMPLE_DOCS``
-documents of each language (the least hashes of their ids) and ``MOST_IDS`` in all,
-``SAMPLE_WINDOWS`` windows of each, and ``MOST_WINDOWS`` in all. Every byte of every document is labelled.
+documents of each language (the least hashes of their ids) and ``SAMPLE_WINDOWS`` windows spread over each,
+however many languages there are, so that no language is crowded out. Every byte of every document is labelled.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; rows with a null
 lang, or a null doc_id, teach nothing; without training rows every text is ``und``; every
@@ -23,7 +23,8 @@ from . import kernels as K
 from .common import map_texts
 
 STEPS, HIDDEN = 64, 8
-SAMPLE_DOCS, SAMPLE_WINDOWS, MOST_IDS, MOST_WINDOWS = 400, 6, 40_000, 12_000
+SAMPLE_DOCS, SAMPLE_WINDOWS = 400, 6
+SAMPLE_SPARE = 1.5
 EPOCHS, BATCH, RATE = 5, 128, 0.02
 SCORE_BATCH = 2048
 UNKNOWN = "und"
@@ -164,8 +165,11 @@ def sample(docs: DataFrame, teaches: Column, id: str, text: str, lang: str) -> D
     """The bounded training sample: (lang, text) of the documents with the least hashes in each language."""
     rows = docs.where(teaches & F.col(f"`{lang}`").isNotNull() & F.col(f"`{id}`").isNotNull())
     ids = rows.select(F.col(f"`{id}`").alias("id"), F.col(f"`{lang}`").cast("string").alias("lang")).distinct()
-    ranked = ids.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))).where(F.col("rank") <= SAMPLE_DOCS)
-    chosen = ranked.orderBy("rank", "lang").limit(MOST_IDS).select("id", "lang")
+    # a share a little over what is wanted goes on to the sort, however many documents a language has
+    share = F.lit(2.0 * SAMPLE_SPARE * SAMPLE_DOCS) / F.col("n") - 1.0
+    near = ids.join(ids.groupBy("lang").agg(F.count("*").alias("n")), "lang").where(F.xxhash64("id") / float(1 << 63) <= share)
+    ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))).where(F.col("rank") <= SAMPLE_DOCS)
+    chosen = ranked.select("id", "lang")
     own = rows.select(F.col(f"`{id}`").alias("id"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
     return own.join(F.broadcast(chosen), ["id", "lang"])
 
@@ -184,7 +188,7 @@ def train(docs: DataFrame, teaches: Column, id: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[spread])), pa.array([w.tobytes() for w in made.astype(np.uint8)], pa.binary()), pa.array(sizes[spread].astype(np.int32))], names=["lang", "bytes", "size"])
 
     pieces = sample(docs, teaches, id, text, lang).select("lang", "text").mapInArrow(cut, "lang string, bytes binary, size int")
-    rows = pieces.orderBy(F.xxhash64("bytes"), "bytes", "lang").limit(MOST_WINDOWS).collect()  # under a megabyte, whatever the corpus
+    rows = pieces.orderBy(F.xxhash64("bytes"), "bytes", "lang").collect()  # at most 160 KB a language
     if not rows:
         return None
     labels = sorted({r.lang for r in rows})

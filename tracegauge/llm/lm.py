@@ -5,7 +5,8 @@ give a smoothed unigram base. The neural model predicts a token's class from the
 before it: the ``SHORTLIST`` most frequent words and the end are classes of their own,
 every other word belongs to one of ``BUCKETS`` classes by its first bytes and is drawn
 within its class by smoothed counts, so the whole is a normalised distribution over all
-words. Class vectors are trained in numpy: a warm start on a bounded sample, then one pass
+words. Class vectors are trained in numpy: a warm start on a bounded sample (``WARM_TOKENS`` tokens spread
+over each of ``WARM_DOCS`` whole texts), then one pass
 over every training document, each task from the warm start, averaged by tokens. With
 two context tokens there are CLASSES ** 2 contexts, whose normalisers are one table of
 batched matrix products; it, the class vectors and at most ``FREQUENT`` of the most frequent words (of at most
@@ -232,6 +233,11 @@ def _stream(batches: Iterator[pa.RecordBatch], words: Vocabulary) -> Iterator[tu
         yield tuple(np.concatenate(x) for x in zip(*held))
 
 
+def spread_places(n: int) -> np.ndarray:
+    """All places of a text of up to ``WARM_TOKENS`` tokens, else as many, spread evenly over the whole of it."""
+    return np.arange(n) if n <= WARM_TOKENS else np.linspace(0, n - 1, WARM_TOKENS).astype(np.int64)
+
+
 def train(docs: DataFrame, words: Vocabulary, id: str = "doc_id", text: str = "text") -> LogBilinear:
     """Warm start on a bounded sample, one averaged pass over all rows of ``docs``."""
     share = words.shares()
@@ -243,15 +249,19 @@ def train(docs: DataFrame, words: Vocabulary, id: str = "doc_id", text: str = "t
         for batch in batches:
             data, offsets = K.buffers(batch.column(0))
             raw = data.tobytes()
-            made = [np.append(token_classes(split(raw[a:b])[:WARM_TOKENS], known.value)[1], END).astype("<i2").tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            made = []
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                classes = np.append(token_classes(split(raw[a:b]), known.value)[1], END)
+                at = spread_places(len(classes))
+                made.append(np.stack([*contexts(classes), classes])[:, at].astype("<i2").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["classes"])
 
     own = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     ids = own.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(WARM_DOCS)
     sample = own.join(F.broadcast(ids), "id", "left_semi").select("text").mapInArrow(first, "classes binary").orderBy(F.xxhash64("classes"), "classes").limit(WARM_DOCS).collect()
-    texts = [np.frombuffer(bytes(r.classes), "<i2").astype(np.int64) for r in sample]
+    texts = [np.frombuffer(bytes(r.classes), "<i2").astype(np.int64).reshape(3, -1) for r in sample]
     if texts:
-        parts = [np.concatenate(x) for x in zip(*[(*contexts(c), c) for c in texts])]
+        parts = list(np.concatenate(texts, axis=1))
         for epoch in range(3):
             at = np.random.default_rng(epoch).permutation(len(parts[0]))
             model.fit(*[p[at] for p in parts], share, WARM_RATE, seed=epoch)
