@@ -120,3 +120,69 @@ def price_chain(prices: DataFrame) -> DataFrame:
         .select("model_id", "manifest_date", "revision", F.col("_in").alias("old_in_rate"), "in_rate",
                 F.col("_out").alias("old_out_rate"), "out_rate")
     )
+
+
+# -- digests ---------------------------------------------------------------------------
+
+
+def row_lanes(columns: Sequence[str]) -> list[Column]:
+    """A row's SHA-256 as eight unsigned 32-bit numbers; sums of them do not depend on any order."""
+    row = F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+    return [F.conv(F.substring(row, 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)").alias(f"l{i}") for i in range(8)]
+
+
+def digests(tables: dict[str, DataFrame], key: str = "run_id") -> DataFrame:
+    """(key, part, digest, n_rows): one digest per key and table, all in one aggregate.
+
+    A digest is the multiset of a key's rows in a table: order-free, so partial sums merge, and a
+    repeated row counts. Columns are taken in the order of their names.
+    """
+    rows = None
+    for part, table in tables.items():
+        own = table.select(F.col(key).alias("key"), F.lit(part).alias("part"), *row_lanes([c for c in table.columns if c != key]))
+        rows = own if rows is None else rows.unionByName(own)
+    summed = rows.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n_rows"), *[F.sum(f"l{i}").alias(f"l{i}") for i in range(8)])
+    text = F.concat_ws(":", F.col("n_rows").cast("string"), *[F.col(f"l{i}").cast("string") for i in range(8)])
+    return summed.select(F.col("key").alias(key), "part", F.sha2(text, 256).alias("digest"), "n_rows")
+
+
+def shared_digests(runs: DataFrame, found: DataFrame, name: str, key: str = "run_id") -> DataFrame:
+    """(key, part, digest, n_rows) of a table that many runs share, such as a data set or a price list: ``found`` has one row per ``name``."""
+    return runs.select(key, name).join(found, name, "left").select(key, "part", "digest", "n_rows")
+
+
+def digest_problems(stored: DataFrame, found: DataFrame, skipped_when_archived: Sequence[str] = ("dataset",), key: str = "run_id") -> DataFrame:
+    """Stored digests (key, part, digest, n_rows, archived) against found ones, for every run at once.
+
+    A part with a digest on record and no rows is missing, unless it was recorded as empty; an
+    unequal digest is a mismatch, and only where digests agree is the recorded count looked at. A part with rows
+    but no record is foreign. Archived runs keep the record of a data set that has since been replaced, so that part of
+    theirs is left out.
+    """
+    s, r = stored.alias("s"), found.alias("r")
+    both = s.join(r, [key, "part"], "full_outer")
+    recorded, present = F.col("s.digest").isNotNull(), F.col("r.digest").isNotNull()
+    kind = (
+        F.when(recorded & ~present, F.when(F.col("s.n_rows") > 0, "missing"))
+        .when(~recorded & present, "foreign")
+        .when(F.col("s.digest") != F.col("r.digest"), "mismatch")
+        .when(F.col("s.n_rows") != F.col("r.n_rows"), "count")
+    )
+    left_out = F.coalesce(F.col("s.archived"), F.lit(False)) & F.col("part").isin(*skipped_when_archived)
+    return both.where(~left_out).select(key, F.concat_ws("_", "part", kind).alias("problem"), kind.alias("kind")).where("kind is not null").drop("kind")
+
+
+def verify_runs(
+    stored: DataFrame,
+    recomputed: DataFrame,
+    stored_digests: DataFrame,
+    found_digests: DataFrame,
+    recorded_costs: DataFrame | None = None,
+    key: str = "run_id",
+) -> DataFrame:
+    """(key, problem): rollups, digests and, where given, the cost of each prediction, for all runs in one pass each."""
+    out = rollup_problems(stored, recomputed, key).unionByName(digest_problems(stored_digests, found_digests, key=key))
+    if recorded_costs is not None:
+        costs = cost_problems(recorded_costs).groupBy(key, "problem").agg(F.count(F.lit(1)).alias("n"))
+        out = out.unionByName(costs.select(key, "problem"))
+    return out

@@ -416,6 +416,37 @@ def verify_runs(spark, sf):
     return V.rollup_problems(stored_manifests(spark, sf), O.run_manifest(priced(spark, sf)))
 
 
+_NUMBER = "CAST(substr(run_id, 5) AS BIGINT)"
+
+
+@query("v2_v3_digest_problems", with_views("predictions runs", f""", r AS (SELECT DISTINCT run_id, {_NUMBER} AS k FROM predictions), a AS (SELECT run_id, count(*) FILTER (WHERE n_attempts > 1) AS again, count(*) FILTER (WHERE error IS NOT NULL) AS cut FROM predictions GROUP BY run_id)
+SELECT run_id, 'predictions_mismatch' AS problem FROM r WHERE k % 7 = 0 UNION ALL
+SELECT run_id, 'attempts_mismatch' FROM r JOIN a USING (run_id) WHERE k % 9 = 0 AND again > 1 UNION ALL SELECT run_id, 'attempts_missing' FROM r JOIN a USING (run_id) WHERE k % 9 = 0 AND again = 1 UNION ALL
+SELECT run_id, 'truncations_missing' FROM r JOIN a USING (run_id) WHERE k % 5 = 1 AND cut > 0 UNION ALL SELECT run_id, 'truncations_count' FROM r JOIN a USING (run_id) WHERE k % 5 = 2 AND cut > 0 UNION ALL
+SELECT run_id, 'dataset_mismatch' FROM runs WHERE dataset_id = 'old' AND {_NUMBER} % 2 = 1"""))
+def digest_checks(spark, sf):
+    """Recorded digests against tables of which some runs were tampered with: a changed score, a lost attempt, a lost account, a replaced data set."""
+    k = F.split("run_id", "_")[1].cast("bigint")
+    rows = corpus.view(spark, sf, "predictions").select("run_id", "trace_id", "arrival", "primary_score", "error", "n_attempts")
+    again, cut = rows.where("n_attempts > 1"), rows.where("error is not null").select("run_id", "trace_id", "error")
+    first = rows.groupBy("run_id").agg(F.min_by(F.struct("arrival", "trace_id"), F.struct("arrival", "trace_id")).alias("first"))
+    lost = again.groupBy("run_id").agg(F.min_by(F.struct("arrival", "trace_id"), F.struct("arrival", "trace_id")).alias("first"))
+    is_first = (F.col("arrival") == F.col("first.arrival")) & (F.col("trace_id") == F.col("first.trace_id"))
+    changed = rows.join(first, "run_id").withColumn("primary_score", F.when((k % 7 == 0) & is_first, F.lit(2.0)).otherwise(F.col("primary_score"))).drop("first")
+    kept = again.join(lost, "run_id").where(~((k % 9 == 0) & is_first)).drop("first")
+    runs = corpus.view(spark, sf, "runs").select("run_id", "dataset_id")
+    sets_ = truth(spark, sf).select("trace_id", "label", "template_family").withColumn("dataset_id", F.explode(F.array(F.lit("old"), F.lit("ds1"))))
+    replaced = sets_.withColumn("label", F.when((F.col("dataset_id") == "old") & (F.col("trace_id") == "order/1"), "other").otherwise(F.col("label")))
+
+    def recorded(predictions, attempts, truncations, data):
+        own = V.digests({"predictions": predictions, "attempts": attempts, "truncations": truncations})
+        return own.unionByName(V.shared_digests(runs, V.digests({"dataset": data}, "dataset_id"), "dataset_id"))
+
+    stored = recorded(rows, again, cut, sets_).withColumn("archived", k % 2 == 0)
+    stored = stored.withColumn("n_rows", F.when((k % 5 == 2) & (F.col("part") == "truncations"), F.col("n_rows") + 1).otherwise(F.col("n_rows")))
+    return V.digest_problems(stored, recorded(changed, kept, cut.where(k % 5 != 1), replaced))
+
+
 @query("v2_cost_problems", with_views("prices predictions priced", """, c AS (SELECT run_id, trace_id, arrival, cost_usd AS want, CASE WHEN arrival % 97 = 0 THEN coalesce(cost_usd, 0e0) + 1e0 WHEN arrival % 89 = 0 THEN NULL ELSE cost_usd END AS got FROM priced)
 SELECT run_id, trace_id, CASE WHEN want IS NULL THEN 'invented_cost' ELSE 'cost_mismatch' END AS problem FROM c
 WHERE (want IS NULL AND got IS NOT NULL) OR (want IS NOT NULL AND (got IS NULL OR abs(got - want) > 1e-12))"""))
