@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import ann, bpe, decontam, langid, lines, lm, phrases, rankbpe, resample, runindex, simhash, substring, toxicity
+from .checks import CHECKS
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-CHECKS: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
