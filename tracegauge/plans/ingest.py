@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import labels as L
 from ..session import work_folder
-from ..sources import release as R, release_files
+from ..sources import release as R, release_files, traces as TR
 from . import corpus
 from .registry import query
 
@@ -141,3 +141,15 @@ def traces(spark, sf):
 @query("p7_ingest_counts", check("SELECT 1").replace(" SELECT 1", _ROWS) + " SELECT count(*) AS seen, count(*) FILTER (WHERE drop_reason IS NULL) AS kept, count(*) FILTER (WHERE drop_reason = 'no_goal') AS dropped_no_goal, count(*) FILTER (WHERE drop_reason = 'no_ground_truth') AS dropped_no_ground_truth FROM kept")
 def counts(spark, sf):
     return L.ingest_counts(R.assembled(release(spark, sf)))
+
+
+@query("s14_load_provenance", "SELECT source AS dataset_id, count(*) AS seen, count(*) FILTER (WHERE n_chars > 1000) AS kept FROM documents WHERE source IS NOT NULL GROUP BY source")
+def provenance(spark, sf):
+    """A provenance document per source, one that cannot be read, and a folder that is not there."""
+    rows = corpus.base(spark, sf, "documents").where("source is not null").groupBy(F.col("source").alias("dataset_id")).agg(F.count(F.lit(1)).alias("seen"), F.count(F.when(F.col("n_chars") > 1000, 1)).alias("kept"))
+    docs = rows.select(F.concat("dataset_id", F.lit(".json")).alias("path"), F.to_json(F.struct("*")).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([("broken.json", '{"dataset_id": "broken", "seen": ')], "path string, text string"))
+    root = work_folder(spark, "provenance")
+    release_files.write_files(docs, root)
+    schema = "struct<dataset_id:string,seen:bigint,kept:bigint>"
+    return TR.load_provenance(spark, root, schema).unionByName(TR.load_provenance(spark, f"{root}-missing", schema))

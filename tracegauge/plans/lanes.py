@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..operators import faults as L, joins as J, operational as O, ranking as R, runs as N, sets as U, verify as V
+from ..operators.running import running_totals
 from ..schemas import POSITIVE_LABEL
 from . import corpus
 from .corpus import FREE, PROVIDERS, SCORED, with_views
@@ -317,6 +318,14 @@ def recent(spark, sf):
     return N.recent_errors(corpus.view(spark, sf, "predictions"), ["run_id"])
 
 
+@query("o1_order_traces", with_views("truth", "SELECT trace_id, split, row_number() OVER (PARTITION BY split ORDER BY trace_id) AS place FROM truth"))
+def order_traces(spark, sf):
+    """The place of every trace in the order of ids; ids of one prefix are a cell, so no split is sorted in one task."""
+    rows = truth(spark, sf).select("trace_id", "split", F.lit(1).cast("bigint").alias("one"))
+    placed = running_totals(rows, ["split"], ["trace_id"], ["one"], [F.substring("trace_id", 1, n) for n in (8, 10)])
+    return placed.select("trace_id", "split", (F.col("before_one") + 1).alias("place"))
+
+
 @query("o1_o5_order_and_first_trace", with_views("truth", "SELECT split, min(trace_id) AS first_trace, count(*) AS n FROM truth GROUP BY split"))
 def first_trace(spark, sf):
     return truth(spark, sf).groupBy("split").agg(F.min("trace_id").alias("first_trace"), F.count(F.lit(1)).alias("n"))
@@ -382,12 +391,11 @@ def speed(spark, sf):
     return O.speed_by_arm(corpus.view(spark, sf, "predictions"), runs(spark, sf))
 
 
-@query("p13_paid_guard", with_views("prices predictions priced", "SELECT provider, trace_id, arrival FROM priced WHERE provider IN ('linear', 'general') AND (cost_usd <> 0 OR input_tokens <> 0 OR output_tokens <> 0 OR provider NOT IN ('rules', 'linear', 'boosted'))"))
+@query("p13_paid_guard", with_views("prices predictions priced", "SELECT provider, trace_id, arrival FROM priced WHERE (cost_usd <> 0 OR input_tokens <> 0 OR output_tokens <> 0 OR provider NOT IN ('rules', 'linear', 'boosted'))"))
 def paid(spark, sf):
     from ..operators.curve import paid_rows
 
-    rows = priced(spark, sf).where(F.col("provider").isin("linear", "general"))
-    return paid_rows(rows, FREE).select("provider", "trace_id", "arrival")
+    return paid_rows(priced(spark, sf), FREE).select("provider", "trace_id", "arrival")
 
 
 @query("p5_public_rows", with_views("prices predictions priced truth thresholds", """SELECT p.trace_id, p.repeat_no, p.provider, p.model_id, round(p.primary_score, 6) AS score,

@@ -284,10 +284,10 @@ def fit_events(spark, sf):
     return B.truncation_rows(B.fit_events(spread(doc_traces(spark, sf)), F.lit(3000), F.lit("rule")))
 
 
-@query("a25_truncation_summary", """WITH r AS (SELECT source, doc_id % 5 AS dropped, doc_id % 3 AS shortened, doc_id % 7 <> 0 AS fits FROM documents WHERE n_chars > 1000)
+@query("a25_truncation_summary", """WITH r AS (SELECT source, doc_id % 5 AS dropped, doc_id % 3 AS shortened, doc_id % 7 <> 0 AS fits FROM documents)
 SELECT source, count(*) AS truncated_traces, CAST(sum(dropped) AS BIGINT) AS dropped_events, CAST(sum(shortened) AS BIGINT) AS shortened_payloads, count(*) FILTER (WHERE NOT fits) AS did_not_fit, 'middle-elision-v1' AS rule FROM r GROUP BY source""")
 def truncation(spark, sf):
-    rows = docs(spark, sf).where("n_chars > 1000").select("source", (F.col("doc_id") % 5).alias("dropped_events"), (F.col("doc_id") % 3).alias("shortened_payloads"), (F.col("doc_id") % 7 != 0).alias("fits"), F.lit(B.RULE).alias("rule"))
+    rows = docs(spark, sf).select("source", (F.col("doc_id") % 5).alias("dropped_events"), (F.col("doc_id") % 3).alias("shortened_payloads"), (F.col("doc_id") % 7 != 0).alias("fits"), F.lit(B.RULE).alias("rule"))
     return B.truncation_summary(rows, ("source",))
 
 

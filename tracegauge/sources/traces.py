@@ -108,7 +108,8 @@ def load_provenance(spark: SparkSession, path: str, schema: str) -> DataFrame:
     from .dims import whole_files
 
     try:
-        rows = whole_files(spark, path).select(F.from_json("value", schema).alias("d")).where("d IS NOT NULL").select("d.*")
+        # text that is no JSON reads as a row of nulls, so it is left out first
+        rows = whole_files(spark, path).where(F.try_parse_json("value").isNotNull()).select(F.from_json("value", schema).alias("d")).where("d IS NOT NULL").select("d.*")
         rows.schema  # noqa: B018
         return rows
     except Exception as exc:  # noqa: BLE001
