@@ -284,13 +284,25 @@ def fit_events(spark, sf):
     return B.truncation_rows(B.fit_events(spread(doc_traces(spark, sf)), F.lit(3000), F.lit("rule")))
 
 
-@query("a25_truncation_summary", """WITH r AS (SELECT source, doc_id % 5 AS dropped, doc_id % 3 AS shortened, doc_id % 7 <> 0 AS fits FROM documents)
-SELECT source, count(*) AS truncated_traces, CAST(sum(dropped) AS BIGINT) AS dropped_events, CAST(sum(shortened) AS BIGINT) AS shortened_payloads, count(*) FILTER (WHERE NOT fits) AS did_not_fit, 'middle-elision-v1' AS rule FROM r GROUP BY source""")
-def truncation(spark, sf):
-    rows = docs(spark, sf).select("source", (F.col("doc_id") % 5).alias("dropped_events"), (F.col("doc_id") % 3).alias("shortened_payloads"), (F.col("doc_id") % 7 != 0).alias("fits"), F.lit(B.RULE).alias("rule"))
+_TRUNCATED = """WITH r AS (SELECT source, doc_id % 5 AS dropped, doc_id % 3 AS shortened, doc_id % 7 <> 0 AS fits FROM documents{where})
+SELECT source, count(*) AS truncated_traces, CAST(sum(dropped) AS BIGINT) AS dropped_events, CAST(sum(shortened) AS BIGINT) AS shortened_payloads, count(*) FILTER (WHERE NOT fits) AS did_not_fit, 'middle-elision-v1' AS rule FROM r GROUP BY source"""
+
+
+def truncation_of(rows):
+    rows = rows.select("source", (F.col("doc_id") % 5).alias("dropped_events"), (F.col("doc_id") % 3).alias("shortened_payloads"), (F.col("doc_id") % 7 != 0).alias("fits"), F.lit(B.RULE).alias("rule"))
     return B.truncation_summary(rows, ("source",))
 
 
+@query("a25_truncation_summary", _TRUNCATED.format(where=" WHERE n_chars > 1000"))
+def truncation(spark, sf):
+    return truncation_of(docs(spark, sf).where("n_chars > 1000"))
+
+
+@query("a25_truncation_summary_whole", _TRUNCATED.format(where=""))
+def truncation_whole(spark, sf):
+    return truncation_of(docs(spark, sf))
+
+
 @query("a48_over_budget_count", "SELECT lang, count(*) FILTER (WHERE length(text) > 2000) AS over_budget, count(*) AS n FROM documents GROUP BY lang")
 def over_budget(spark, sf):
     return docs(spark, sf).groupBy("lang").agg(B.over_budget_count(F.length("text"), F.lit(2000)).alias("over_budget"), F.count(F.lit(1)).alias("n"))
