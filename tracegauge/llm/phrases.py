@@ -45,6 +45,7 @@ BLOCK_BYTES = 2 << 20
 PARTITION_BYTES = 2 << 20
 LEAST_BITS, MOST_BITS, SPARE_BITS = 16, 29, 8
 TOP_BUCKETS = 16
+MOST_PARTS = 26
 
 
 def prepared(docs: DataFrame, group: str | None, text: str) -> DataFrame:
@@ -162,12 +163,11 @@ def task_counts(rows: DataFrame, longest: int, parts_log2: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             hashes, counts = counted(np.concatenate(held))
             part = (hashes >> U(64 - parts_log2)).astype(np.int64) if parts_log2 else np.zeros(len(hashes), np.int64)
-            edges = np.searchsorted(part, np.arange((1 << parts_log2) + 1))
+            edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
             counts = counts.astype("<u4")
-            for p in range(1 << parts_log2):
-                a, b = edges[p], edges[p + 1]
-                if a < b:
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([hashes[a:b].tobytes()], pa.binary()), pa.array([counts[a:b].tobytes()], pa.binary())], names=["part", "hashes", "counts"])
+            for a, b in zip(edges[:-1], edges[1:]):
+                data = [pa.array([part[a]], pa.int32()), pa.array([hashes[a:b].tobytes()], pa.binary()), pa.array([counts[a:b].tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(data, names=["part", "hashes", "counts"])
 
         for block, _, new in blocks(batches, longest):
             for n in range(1, longest + 1):
@@ -259,7 +259,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, group:
     """(grp, phrase, size, f): exact counts of every phrase of 1 to ``longest`` words that occurs ``least`` times in its group; size 0 holds the group's words."""
     rows = prepared(docs, group, text)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts_log2 = min(20, max(0, (int(size) // PARTITION_BYTES).bit_length()))
+    parts_log2 = min(MOST_PARTS, max(0, (int(size) // PARTITION_BYTES).bit_length()))
     found = settle(survivors(task_counts(rows, longest, parts_log2), least), "survivors")
     bitmap, bits = survivor_bitmap(found, parts_log2)
     return settle(exact_counts(rows, longest, bitmap, bits).where(F.col("size").eqNullSafe(0) | (F.col("f") >= least)), "phrases")
