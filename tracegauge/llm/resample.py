@@ -209,7 +209,8 @@ def resample(
         {"__down": -F.col("score"), "__order": F.coalesce(F.col("__id").cast("long"), F.lit(LAST)), "__one": F.lit(1).cast("long")}
     )
     take = able.count() * percent // 100
-    cells = [F.shiftright("__down", 8), F.col("__down"), F.shiftright("__order", 24), F.shiftright("__row", 33)]
+    # Rows are cut only below whole ids: a cell of rows above them would put a partition before a smaller id.
+    cells = [F.shiftright("__down", 8), F.col("__down"), F.col("__order"), F.shiftright("__row", 33)]
     placed = running_totals(able, [], ["__down", "__order", "__row"], ["__one"], cells)
     rank = F.when(F.col("before___one") < take, F.col("before___one") + 1).cast("long")
     columns = ["n_words", "n_features", "weight", "score"]
