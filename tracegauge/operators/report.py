@@ -67,9 +67,10 @@ def report_tables(
     predictions: DataFrame, truth: DataFrame, prices: DataFrame, threshold: Column, fault: str, control: str, fx_rate: float
 ) -> Mapping[str, DataFrame]:
     """Every section of the report as its own lazily planned table."""
-    points = J.point_predictions(predictions)
+    # Points are folded whole, so they take along only what a section of scored rows reads.
+    points = J.point_predictions(predictions.select(*ARM, "trace_id", "repeat_no", "arrival", "ord", "primary_score", "predicted_label", "confidence"))
     # Nearly every section starts from the scored rows, so they are written once.
-    scored = J.score_join(points, truth).withColumn("threshold", threshold)
+    scored = J.score_join(points, truth.select("trace_id", "label", "fault_type")).withColumn("threshold", threshold)
     ranked = R.ranked_groups(R.score_groups(scored, ARM), ARM)
     priced = O.with_cost(J.price_join(predictions, prices))
     at = R.confusion(scored, ARM, F.col("threshold"))
