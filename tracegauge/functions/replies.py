@@ -111,9 +111,17 @@ def parse_chat(rows: DataFrame, body: str = "body") -> DataFrame:
             "_json": F.try_parse_json(content),
         }
     )
-    prob = {n: F.try_variant_get(F.try_element_at("_p", F.lit(n)), "$", "double") for n in LABELS}
-    sub = {k: F.try_variant_get(F.try_element_at("_a", F.lit(k)), "$", "double") for k in SUB_SCORES}
-    confidence = F.try_variant_get("_v", "$.confidence", "double")
+    # Each number is read by several checks and by the result, so it is taken out of the reply once.
+    r = r.withColumns(
+        {
+            **{f"_prob_{n}": F.try_variant_get(F.try_element_at("_p", F.lit(n)), "$", "double") for n in LABELS},
+            **{f"_sub_{k}": F.try_variant_get(F.try_element_at("_a", F.lit(k)), "$", "double") for k in SUB_SCORES},
+            "_confidence": F.try_variant_get("_v", "$.confidence", "double"),
+        }
+    )
+    prob = {n: F.col(f"_prob_{n}") for n in LABELS}
+    sub = {k: F.col(f"_sub_{k}") for k in SUB_SCORES}
+    confidence = F.col("_confidence")
     error = first_error(
         (F.col("_c").isNull(), "response has no 'choices' array"),
         (F.coalesce(F.length("_c.message.refusal"), F.lit(0)) > 0, F.concat(F.lit("model refused: "), F.substring("_c.message.refusal", 1, 200))),
