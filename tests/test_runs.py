@@ -32,6 +32,19 @@ def test_run_is_priced_redacted_and_written_once(spark, tmp_path):
         TR.write_run(predictions(spark), prices, X.secret_table(spark, [secret]), f"{tmp_path}/run")
 
 
+def test_files_of_many_runs_follow_their_size(spark, tmp_path):
+    rows = predictions(spark, n=100).withColumn("run_id", F.concat(F.lit("r"), F.element_at(F.split("trace_id", "t"), -1)))
+    prices = spark.createDataFrame([("m", 2.0, 0.0, True)], PRICES)
+    TR.write_run(rows, prices, X.secret_table(spark, ["correct-horse-battery"]), f"{tmp_path}/run")
+    for name, n in (("predictions", 100), ("attempts", 4950)):
+        assert len(list((tmp_path / "run" / name).rglob("*.parquet"))) <= 8
+        back = spark.read.parquet(f"{tmp_path}/run/{name}")
+        assert back.count() == n
+        # a run's rows are in neighbouring ranges: most runs are in one file
+        files = back.select("run_id", F.input_file_name().alias("file")).distinct().groupBy("run_id").agg(F.count("file").alias("files"))
+        assert files.where("files > 1").count() <= 8
+
+
 def test_surviving_secret_stops_the_write(spark, tmp_path):
     # The text reads "1.5" only once the number is turned into JSON, past any column scrub.
     prices = spark.createDataFrame([("m", 2.0, 0.0, True)], PRICES)

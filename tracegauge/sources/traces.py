@@ -64,21 +64,31 @@ def read_runs(spark: SparkSession, root: str, manifest: T.StructType | str) -> t
     return manifests.withColumn("run_dir", run_dir), predictions.withColumn("run_dir", run_dir)
 
 
+def by_run(rows: DataFrame) -> DataFrame:
+    return rows.repartitionByRange("run_id", "trace_id").sortWithinPartitions("run_id", "trace_id")
+
+
+def redacted(rows: DataFrame, secrets: DataFrame) -> DataFrame:
+    return X.redact_columns(X.with_secrets(rows, secrets), F.col("secrets"))
+
+
 def write_run(predictions: DataFrame, prices: DataFrame, secrets: DataFrame, path: str) -> None:
     """Price, redact, refuse a surviving secret, then write rows and attempts once.
 
-    A folder that already exists is refused; nothing is ever overwritten.
+    A folder that already exists is refused; nothing is ever overwritten. Rows of a run
+    stand together, in ranges of (run, trace): files follow the size of the table, not the
+    number of runs, and a reader of one run skips the other ranges by their bounds.
     """
     priced = with_cost(price_join(predictions, prices))
-    armed = X.with_secrets(priced, secrets)
-    clean = X.redact_columns(armed, F.col("secrets"))
+    clean = redacted(priced, secrets)
     body = F.to_json(F.struct(*[F.col(c) for c in clean.columns if c != "secrets"]))
     leaking = clean.where(X.contains_secret(body, F.col("secrets"))).select("trace_id")
     refuse_if_any(leaking, "a live secret survives redaction")
-    rows = clean.drop("secrets")
-    rows.drop("attempts").write.mode("errorifexists").partitionBy("run_id").parquet(f"{path}/predictions")
-    attempts = rows.select("run_id", "trace_id", F.explode("attempts").alias("a")).select("run_id", "trace_id", "a.*")
-    attempts.write.mode("errorifexists").partitionBy("run_id").parquet(f"{path}/attempts")
+    # Rows are dealt before they are redacted: the deal looks at all rows twice.
+    rows = redacted(by_run(priced.drop("attempts")), secrets).drop("secrets")
+    rows.write.mode("errorifexists").parquet(f"{path}/predictions")
+    attempts = redacted(by_run(priced.select("run_id", "trace_id", "attempts")), secrets)
+    attempts.select("run_id", "trace_id", F.explode("attempts").alias("a")).select("run_id", "trace_id", "a.*").write.mode("errorifexists").parquet(f"{path}/attempts")
 
 
 def write_accounts(truncations: DataFrame, deviations: DataFrame, path: str) -> None:
