@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..schemas import ratio
-from .running import integer_cells, running_totals
+from .running import integer_cells
 
 
 def run_headers(manifests: DataFrame, progress: DataFrame) -> DataFrame:
@@ -62,16 +64,35 @@ def sibling_arms(runs: DataFrame, provider: str, split: str) -> DataFrame:
 def error_rate_guard(
     predictions: DataFrame, keys: Sequence[str], arrival: str = "arrival", max_rate: float = 0.05, min_samples: int = 20
 ) -> DataFrame:
-    """Per key, the first arrival at which the running error rate breaks the budget."""
-    rows = predictions.groupBy(*keys, arrival).agg(
-        F.count(F.lit(1)).alias("total"), F.count("error").alias("failed")
-    )
-    run = running_totals(rows, keys, [arrival], ["total", "failed"], integer_cells(arrival))
-    total, failed = F.col("before_total") + F.col("total"), F.col("before_failed") + F.col("failed")
-    broken = (total >= min_samples) & (ratio(failed, total) > max_rate)
+    """Per key, the first arrival at which the running error rate breaks the budget.
+
+    Arrivals are cut into nested cells. A cell is kept while the rate may break in it: even its first arrival
+    would break with all its failures, and no earlier cell has broken at its end. So finer cells, and in the end
+    arrivals, are counted in kept cells alone; a window holds the cells of one coarser cell.
+    """
+    rows = predictions.select(*keys, arrival, F.col("error").isNotNull().cast("bigint").alias("failed"))
+    kept, cells = None, []
+    for cell in [*integer_cells(arrival), F.col(arrival)]:
+        outer, cells = cells, [*cells, f"_cell{len(cells)}"]
+        rows = rows.withColumn(cells[-1], cell)
+        counts = rows.groupBy(*keys, *cells).agg(F.count(F.lit(1)).alias("total"), F.sum("failed").alias("failed"))
+        if kept is None:
+            counts = counts.withColumns({"_seen": F.lit(0).cast("bigint"), "_failed": F.lit(0).cast("bigint")})
+        else:
+            same = reduce(and_, [F.col(f"c.{c}").eqNullSafe(F.col(f"k.{c}")) for c in [*keys, *outer]])
+            counts = counts.alias("c").join(kept.alias("k"), same).select("c.*", "k._seen", "k._failed")
+        earlier = W.partitionBy(*keys, *outer).orderBy(F.col(cells[-1]).asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
+        before = {n: F.col(f"_{'seen' if n == 'total' else n}") + F.coalesce(F.sum(n).over(earlier), F.lit(0)) for n in ("total", "failed")}
+        placed = counts.select(*keys, *cells, "total", "failed", before["total"].alias("_seen"), before["failed"].alias("_failed"))
+        seen, failed = F.col("_seen") + F.col("total"), F.col("_failed") + F.col("failed")
+        enough = seen >= min_samples
+        may = enough & (ratio(failed, F.greatest(F.col("_seen") + 1, F.lit(min_samples))) > max_rate)
+        marked = placed.where(may).withColumn("_does", enough & (ratio(failed, seen) > max_rate))
+        marked = marked.withColumn("_done", F.coalesce(F.bool_or("_does").over(earlier), F.lit(False)))
+        kept = marked.where("NOT _done")
     return (
-        run.where(broken)
-        .select(*keys, F.struct(total.alias("seen"), failed.alias("failed")).alias("at"))
+        kept.where("_does")
+        .select(*keys, F.struct(seen.alias("seen"), failed.alias("failed")).alias("at"))
         .groupBy(*keys)
         .agg(F.min("at").alias("at"))
         .select(*keys, "at.seen", "at.failed")
