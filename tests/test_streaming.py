@@ -70,3 +70,19 @@ def test_run_status(spark):
     expected = spark.createDataFrame([("a", 2), ("b", 5)], "run_id string, expected int")
     got = {r["run_id"]: (r["written"], r["finished"]) for r in T.run_status(runs, rows, expected).collect()}
     assert got == {"a": (2, True), "b": (1, False)}
+
+
+def test_replay_takes_a_file_of_many_parts_in_one_batch(spark, tmp_path):
+    for k, n in ((0, 3), (1, 1), (2, 7)):
+        (tmp_path / f"spark-run/file={k}").mkdir(parents=True)
+        for part in range(n):
+            (tmp_path / f"spark-run/file={k}/part-{part}.json").write_text(lines([prediction(100 * k + 10 * part + i) for i in range(5)]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")  # a file of the run is scanned, and laid out, by several tasks
+    try:
+        stream = T.replay(spark, str(tmp_path / "spark-run"), parts=True)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    seen = []
+    T.drain_state(T.error_counts(T.good_rows(stream)), "parts", lambda batch, n: seen.append((n, batch.first()["total"])))
+    assert [s[1] for s in sorted(seen)] == [15, 20, 55]

@@ -33,12 +33,12 @@ FILES = 4
 
 @query("t7_x3_replay_with_hook", with_views("predictions", f"""SELECT run_id, count(*) AS total, count(error) AS failed, {FILES} AS batches, (SELECT count(*) FROM predictions) AS replayed FROM predictions GROUP BY run_id"""))
 def replay(spark, sf):
-    """A finished run of four files, replayed a file at a time; the hook sees the state after every batch."""
+    """A finished run of four files, each written in parts, replayed a file at a time; the hook sees the state after every batch."""
     rows = corpus.view(spark, sf, "predictions").select("run_id", "trace_id", "provider", "repeat_no", "primary_score", "error", "arrival")
     folder = work_folder(spark, "finished")
     lines = rows.withColumn("value", F.to_json(F.struct(*[c for c in rows.columns if c != "arrival"]))).withColumn("part", F.pmod("arrival", F.lit(FILES)))
-    lines.select("value", "part").repartition("part").write.partitionBy("part").text(folder)
+    lines.select("value", "part").hint("rebalance", "part").write.partitionBy("part").text(folder)
     seen = []
-    counts = T.error_counts(T.good_rows(T.replay(spark, folder)))
+    counts = T.error_counts(T.good_rows(T.replay(spark, folder, parts=True)))
     state = T.drain_state(counts, "replayed", lambda batch, n: seen.append(batch.agg(F.sum("total")).first()[0]))
     return state.withColumns({"batches": F.lit(len(seen)).cast("int"), "replayed": F.lit(max(seen, default=0)).cast("bigint")})

@@ -7,6 +7,7 @@ micro-batch only folds what is new.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
@@ -43,24 +44,35 @@ def corrupt_rows(stream: DataFrame) -> DataFrame:
     return stream.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
 
 
-def replay(spark: SparkSession, folder: str, schema: T.StructType = PREDICTION, files_per_trigger: int = 1) -> DataFrame:
+def replay(spark: SparkSession, folder: str, schema: T.StructType = PREDICTION, files_per_trigger: int = 1, parts: bool = False) -> DataFrame:
     """A finished run file by file, in order of writing, then name; pace it with the trigger's processing time.
 
+    With ``parts``, a file is a folder of parts that its writers wrote side by side.
     The file source orders by modification time alone, so the run is first laid out again
     as one folder per place in that order, with times a second apart (a store that keeps
-    modification times, such as a local disk or HDFS, is needed for that).
+    modification times, such as a local disk or HDFS, is needed for that). Each task writes
+    what it scans, so a file may become several; empty ones make up their number
+    to the same at every place, and a trigger takes whole places.
     """
-    lines = spark.read.text(folder).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("written"))
-    files = lines.select("file", "written").distinct()  # a row per file
+    path, meta = spark._jvm.org.apache.hadoop.fs.Path, F.col("_metadata")
+    name = F.regexp_replace(meta["file_path"], "/[^/]*$", "") if parts else meta["file_path"]
+    listed = spark.read.format("binaryFile").load(folder).where("length > 0").select(name.alias("file"), "modificationTime")  # no content is read
+    files = listed.groupBy("file").agg(F.max("modificationTime").alias("written"))  # a row per file
     placed = files.withColumn("place", F.row_number().over(W.orderBy("written", "file"))).select("file", "place")
+    lines = spark.read.text(folder).select("value", name.alias("file"))
     stage = work_folder(spark, "replay")
-    lines.join(F.broadcast(placed), "file").select("value", "place").repartition("place").write.partitionBy("place").text(stage)
-    path = spark._jvm.org.apache.hadoop.fs.Path
+    lines.join(F.broadcast(placed), "file").select("value", "place").write.partitionBy("place").text(stage)
     store = path(stage).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    for status in store.globStatus(path(f"{stage}/place=*/part-*")) or []:
-        place = int(status.getPath().getParent().getName().split("=")[1])
-        store.setTimes(status.getPath(), 1000 * place, -1)
-    return tail_predictions(spark, stage, schema, files_per_trigger)
+    written = [status.getPath() for status in store.globStatus(path(f"{stage}/place=*/part-*")) or []]
+    homes = Counter(own.getParent().toString() for own in written)
+    most = max(homes.values(), default=1)
+    for home, n in homes.items():
+        for k in range(n, most):
+            written.append(path(f"{home}/part-none-{k}.txt"))
+            store.create(written[-1]).close()
+    for own in written:
+        store.setTimes(own, 1000 * int(own.getParent().getName().split("=")[1]), -1)
+    return tail_predictions(spark, stage, schema, files_per_trigger * most)
 
 
 def live_rows(stream: DataFrame, truth: DataFrame, threshold: Column) -> DataFrame:
