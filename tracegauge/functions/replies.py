@@ -74,8 +74,15 @@ def parse_structured(rows: DataFrame, body: str = "body", sub_field: str = SUB_S
             "_choice": F.try_variant_get("_v", "$.choice", "string"),
         }
     )
-    sub = {k: F.try_variant_get(F.try_element_at("_r.answers", F.lit(k)), f"$.{sub_field}", "double") for k in SUB_SCORES}
-    unknown = F.array_except(F.map_keys("_p"), labels_array())
+    # Each is read by a check and by the result, so it is taken out of the reply once.
+    r = r.withColumns(
+        {
+            **{f"_sub_{k}": F.try_variant_get(F.try_element_at("_r.answers", F.lit(k)), f"$.{sub_field}", "double") for k in SUB_SCORES},
+            "_unknown": F.array_except(F.map_keys("_p"), labels_array()),
+        }
+    )
+    sub = {k: F.col(f"_sub_{k}") for k in SUB_SCORES}
+    unknown = F.col("_unknown")
     error = first_error(
         (F.col("_r.answers").isNull(), "response has no 'answers' object"),
         (F.col("_v").isNull(), "response has no 'verdict' answer"),
