@@ -94,3 +94,14 @@ def test_ties_go_to_the_smaller_id_whatever_partition_it_is_in(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartitionByRange(8, (-F.col("doc_id")))
     made = resample.resample(frame, frame.limit(0), 1, 100, 100, 20, 7)
     assert got(made) == brute(docs, [], 1, 100, 100, 20, 7)
+
+
+def test_bytes_that_are_no_text_stay_in_their_row():
+    """op11: offsets are bytes; a lone continuation byte moved the words behind it into the next row."""
+    texts = [b"\x80\x80\x80\x80 a", b"\xff b c", "éé ÜÜ d".encode(), b"", b"e\n\nf g h"]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    words, made = resample.Features(2, 97)(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    plain = [WORDS.findall(t.decode("utf-8", "replace").translate(LOWER)) for t in texts]
+    assert words.tolist() == [len(p) for p in plain]
+    for own, p in zip(made.to_pylist(), plain):
+        assert Counter(own) == Counter(zlib.crc32(" ".join(p[i : i + k]).encode()) % 97 for k in (1, 2) for i in range(len(p) - k + 1))

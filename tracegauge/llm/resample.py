@@ -26,7 +26,7 @@ cut between words, with the windows that straddle a cut kept.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,12 +43,22 @@ CUT_BYTES = 1 << 20
 LAST = (1 << 63) - 1
 
 
-def splitter():
-    """The pre-tokeniser: drops runs of separators, keeps words with their offsets."""
-    from tokenizers import Regex
+def splitter() -> Callable[[str], list[tuple]]:
+    """The pre-tokeniser: drops runs of separators, keeps words with their offsets.
+
+    Offsets are asked for in bytes; those in characters take more than half of the library's time.
+    """
+    from tokenizers import PreTokenizedString, Regex
     from tokenizers.pre_tokenizers import Split
 
-    return Split(Regex(SEPARATORS), "removed")
+    split = Split(Regex(SEPARATORS), "removed")
+
+    def found(text: str) -> list[tuple]:
+        pieces = PreTokenizedString(text)
+        split.pre_tokenize(pieces)
+        return pieces.get_splits(offset_type="byte")
+
+    return found
 
 
 def cuts(low: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -65,12 +75,15 @@ def cuts(low: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def window_buckets(words: list[bytes], rows: np.ndarray, n: int, buckets: int, new: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, row) of every run of 1 to ``n`` words of one row that ends at word ``new`` or later."""
-    joined = memoryview(b" ".join(words))
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    end = np.cumsum(size + 1) - 1
-    start, out, of = end - size, [], []
     crc = zlib.crc32
-    for k in range(1, n + 1):
+    own = np.array([crc(w) for w in words[new:]], np.uint64) % np.uint64(buckets)
+    out, of = [own], [rows[new:]]
+    if n > 1:
+        joined = memoryview(b" ".join(words))
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        end = np.cumsum(size + 1) - 1
+        start = end - size
+    for k in range(2, n + 1):
         first = np.arange(max(0, new - k + 1), max(0, len(words) - k + 1))
         first = first[rows[first] == rows[first + k - 1]]
         pairs = zip(start[first].tolist(), end[first + k - 1].tolist())
@@ -95,11 +108,15 @@ class Features:
         # one line end after each text, so that no word crosses two of them
         parts = np.full(len(low) + rows, 10, np.uint8)
         parts[np.arange(len(low)) + np.repeat(np.arange(rows), np.diff(offsets))] = low
-        found = self.split.pre_tokenize_str(parts.tobytes().decode("utf-8", "replace"))
-        starts_character = (parts & 0xC0) != 0x80
-        at = np.cumsum(starts_character)[offsets[1:] + np.arange(rows)]  # characters up to each line end
-        row = np.searchsorted(at, np.fromiter((s for _, (s, _) in found), np.int64, len(found)), "right")
-        made, of = window_buckets([w.encode() for w, _ in found], row, self.n, self.buckets)
+        raw, at = parts.tobytes(), offsets[1:] + np.arange(rows)  # bytes up to each line end
+        try:
+            text = raw.decode()
+        except UnicodeDecodeError:  # replacements have other lengths
+            own = [raw[a : b + 1].decode("utf-8", "replace") for a, b in zip([0, *(at[:-1] + 1).tolist()], at.tolist())]
+            text, at = "".join(own), np.cumsum([len(x.encode()) for x in own]) - 1
+        found = self.split(text)
+        row = np.searchsorted(at, np.array([place[0] for _, place, _ in found], np.int64), "right")
+        made, of = window_buckets([w.encode() for w, _, _ in found], row, self.n, self.buckets)
         return np.bincount(row, minlength=rows), made, of
 
     def long(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,7 +124,7 @@ class Features:
         carried: list[bytes] = []
         made, words = [], 0
         for a, b in cuts(low):
-            own = [w.encode() for w, _ in self.split.pre_tokenize_str(low[a:b].tobytes().decode("utf-8", "replace"))]
+            own = [w.encode() for w, _, _ in self.split(low[a:b].tobytes().decode("utf-8", "replace"))]
             words += len(own)
             both = carried + own
             made.append(window_buckets(both, np.zeros(len(both), np.int64), self.n, self.buckets, len(carried))[0])
