@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..operators.joins import price_join
 from ..operators.operational import with_cost
 from ..schemas import DEVIATION, EVENT, PREDICTION, TRACE, TRUNCATION, IntegrityError, refuse_if_any
+from ..session import forget
 
 # Audit sheet columns.
 KEY_COLUMNS = ("trace_id", "domain", "template_family", "label", "fault_type", "audit_stratum", "in_sample")
@@ -72,22 +73,43 @@ def redacted(rows: DataFrame, secrets: DataFrame) -> DataFrame:
     return X.redact_columns(X.with_secrets(rows, secrets), F.col("secrets"))
 
 
+LEAK = "a live secret survives redaction"
+
+
+def leaks(rows: DataFrame) -> Column:
+    """Whether the JSON text of a redacted row holds one of its ``secrets``."""
+    return X.contains_secret(F.to_json(F.struct(*[F.col(c) for c in rows.columns if c != "secrets"])), F.col("secrets"))
+
+
 def write_run(predictions: DataFrame, prices: DataFrame, secrets: DataFrame, path: str) -> None:
     """Price, redact, refuse a surviving secret, then write rows and attempts once.
 
     A folder that already exists is refused; nothing is ever overwritten. Rows of a run
     stand together, in ranges of (run, trace): files follow the size of the table, not the
     number of runs, and a reader of one run skips the other ranges by their bounds.
+
+    Secrets are looked for before rows are priced, which moves none of them, and again with the cost where rows
+    are written; a secret without a comma cannot reach over two columns. Attempts need no price.
     """
+    spark = predictions.sparkSession
     priced = with_cost(price_join(predictions, prices))
-    clean = redacted(priced, secrets)
-    body = F.to_json(F.struct(*[F.col(c) for c in clean.columns if c != "secrets"]))
-    leaking = clean.where(X.contains_secret(body, F.col("secrets"))).select("trace_id")
-    refuse_if_any(leaking, "a live secret survives redaction")
+    apart = secrets.where(F.exists("secrets", lambda s: F.contains(s, F.lit(",")))).isEmpty()
+    clean = redacted(predictions if apart else priced, secrets)
+    refuse_if_any(clean.where(leaks(clean)).select("trace_id"), LEAK)
     # Rows are dealt before they are redacted: the deal looks at all rows twice.
-    rows = redacted(by_run(priced.drop("attempts")), secrets).drop("secrets")
-    rows.write.mode("errorifexists").parquet(f"{path}/predictions")
-    attempts = redacted(by_run(priced.select("run_id", "trace_id", "attempts")), secrets)
+    rows = redacted(by_run(priced.drop("attempts")), secrets)
+    if apart:
+        refused = F.raise_error(F.concat(F.lit(f"{LEAK}: "), F.coalesce("trace_id", F.lit("")))).cast("string")
+        rows = rows.withColumn("trace_id", F.when(leaks(rows), refused).otherwise(F.col("trace_id")))
+    try:
+        rows.drop("secrets").write.mode("errorifexists").parquet(f"{path}/predictions")
+    except Exception as failed:
+        if LEAK not in str(failed):
+            raise
+        forget(spark, f"{path}/predictions")
+        raise IntegrityError(LEAK) from None
+    single = prices.where("model_id IS NOT NULL").groupBy("model_id").count().where("count > 1").isEmpty()
+    attempts = redacted(by_run((predictions if single else priced).select("run_id", "trace_id", "attempts")), secrets)
     attempts.select("run_id", "trace_id", F.explode("attempts").alias("a")).select("run_id", "trace_id", "a.*").write.mode("errorifexists").parquet(f"{path}/attempts")
 
 
